@@ -7,10 +7,14 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_rules import OP9_SQL, op9_line_rules
 from .mixing import op2_mix
+from .quality import op5_quality
+from .simhash import op3_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix": op2_mix,
+    "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
