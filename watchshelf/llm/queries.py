@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .lattice_lm import op6_lattice_lm
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_rules import OP9_SQL, op9_line_rules
 from .mixing import op2_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
+    "op6_lattice_lm": op6_lattice_lm,
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
