@@ -10,6 +10,7 @@ from .line_rules import OP9_SQL, op9_line_rules
 from .mixing import op2_mix
 from .quality import op5_quality
 from .simhash import op3_simhash
+from .site_tree import op7_site_tree
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_quality": op5_quality,
     "op6_lattice_lm": op6_lattice_lm,
+    "op7_site_tree": op7_site_tree,
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
