@@ -11,11 +11,13 @@ from .mixing import op2_mix
 from .quality import op5_quality
 from .simhash import op3_simhash
 from .site_tree import op7_site_tree
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mix": op2_mix,
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality": op5_quality,
     "op6_lattice_lm": op6_lattice_lm,
     "op7_site_tree": op7_site_tree,
