@@ -1 +1 @@
-
+"""Column functions: calendar, text and codes."""

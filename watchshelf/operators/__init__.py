@@ -1 +1 @@
-
+"""Building blocks: filters, paging, lookups, aggregates, merges."""

@@ -1 +1 @@
-
+"""Whole reads: catalog, collections, dashboard, activity, ingestion."""

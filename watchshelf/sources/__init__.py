@@ -1 +1 @@
-
+"""Schemas and readers."""

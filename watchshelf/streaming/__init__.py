@@ -1 +1 @@
-
+"""Incremental counters, keyed windows and state that expires."""
