@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schema import FEEDS, TABLES
 
@@ -42,7 +43,8 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """df with the columns and types of a table; missing nullable columns are null."""
-    missing = [f.name for f in TABLES[name] if f.name not in df.columns and not f.nullable]
+    fields = StructType.fromDDL(TABLES[name])
+    missing = [f.name for f in fields if f.name not in df.columns and not f.nullable]
     if missing:
         raise ValueError(f"{name} needs {', '.join(missing)}")
-    return df.select(*[(df[f.name] if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+    return df.select(*[(df[f.name] if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
