@@ -33,11 +33,11 @@ def step(rule: Rule, opened: float | None, hits: int, at: float, success: bool)
     return (at if opened is None else opened), hits + 1, hits + 1 <= rule.limit
 
 
-def limited(events: DataFrame, rule: Rule) -> DataFrame:
-    """Each event (key, event_id, ts, success) with its place in its key's window and whether the rule allows it.
+def limited(events: DataFrame, rule: Rule, late: str = "1 hour") -> DataFrame:
+    """Each event (key, event_id, ts, success) of a stream with its place in its key's window and whether the rule allows it.
 
-    Works on streams and, by the same function, on tables. Within a micro-batch a key's events are taken in the order of
-    ts and event_id. Idle keys give up their state once the window has passed.
+    Within a micro-batch a key's events are taken in the order of ts and event_id; events later than the watermark are
+    left out. Idle keys give up their state once the watermark has passed their window.
     """
 
     def advance(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,11 +51,12 @@ def limited(events: DataFrame, rule: Rule) -> DataFrame:
             opened, hits, allowed = step(rule, opened, hits, ts.timestamp(), bool(success))
             out.append((key[0], event_id, ts, hits, allowed))
         state.update((opened, hits))
-        state.setTimeoutDuration(rule.seconds * 1000)
+        ends = int(((rows.ts.iloc[-1].timestamp() if opened is None else opened) + rule.seconds) * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "event_id", "ts", "hits", "allowed"])
 
-    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success")
-    return rows.groupBy("key").applyInPandasWithState(advance, HITS, "opened double, hits long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success").withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(advance, HITS, "opened double, hits long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limited_table(events: DataFrame, rule: Rule) -> DataFrame:
