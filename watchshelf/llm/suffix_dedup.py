@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 PREFIX = 24
-SLOT_BYTES, PART_BYTES, CHUNK = 16_000_000, 8_000_000, 2_000_000
+SLOT_BYTES, PART_BYTES, CHUNK = 5_000_000, 3_000_000, 1_000_000
 LAST = (1 << 63) - 1
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -126,7 +126,9 @@ class Runs:
         return key[anchor[starts]], np.array([i for i, *_ in chunk])[piece], place[starts] + shift[piece], place[ends] + shift[piece]
 
     def by_part(self) -> Iterator[tuple[int, slice]]:
-        cuts = np.flatnonzero(np.append(True, self.parts[1:] != self.parts[:-1])) if len(self.parts) else []
+        if not len(self.parts):  # all texts are shorter than `length`
+            return
+        cuts = np.flatnonzero(np.append(True, self.parts[1:] != self.parts[:-1]))
         for a, b in zip(cuts, [*cuts[1:], len(self.parts)], strict=True):
             yield int(self.parts[a]), slice(a, b)
 
@@ -226,7 +228,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 4, slot_bytes
     each = math.ceil(max(at_least, size / slot_bytes) / batches)
     parts = max(at_least, math.ceil(size / PART_BYTES))
     k = docs[key].cast("long")
-    bounds = docs.select(k.alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.01)
+    bounds = docs.select(k.alias("k")).approxQuantile("k", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     batch = reduce(lambda a, b: a + b, [F.when(k <= int(x), 0).otherwise(1) for x in bounds], F.lit(0))
     slot = batch * each + F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(each))
     rows = docs.select(slot.cast("long").alias("slot"), k.alias("k"), docs[text].cast("binary").alias("data"))
