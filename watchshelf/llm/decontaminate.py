@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words are looked up in every document.
 
 Words are runs of digits, letters a-z (A-Z lower-cased first) and characters beyond ASCII. The benchmark's
-windows, ten consecutive words or a whole shorter item, are hashed; while there are at most max_broadcast of
-them the set is broadcast, beyond that the same join shuffles. Windows of the documents that hit are then
+windows, ten consecutive words or a whole shorter item, are hashed; while they take at most max_broadcast bytes
+the set is broadcast, beyond that the same join shuffles. Windows of the documents that hit are then
 compared word by word, so that a collision of hashes never counts.
 
 Defined results: null text has no words; items without words match nothing; an item that comes twice counts
@@ -22,8 +22,8 @@ from .common import Workspace, ascii_lower, same, table
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts that are not lower-cased.
 GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows that a broadcast may hold: about 50 MB of hashes.
-MAX_BROADCAST = 1_000_000
+#: Bytes of windows, their words included, that a broadcast may hold.
+MAX_BROADCAST = 50_000_000
 
 
 def _words(text: Column) -> Column:
@@ -54,7 +54,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     windows = ws.save(_windows(benchmark, width, text, item), "windows")
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most width values
     keys = windows.select("size", "h").distinct()
-    small = windows.count() <= max_broadcast
+    held = F.aggregate("words", F.lit(16).cast("long"), lambda n, w: n + F.octet_length(w) + 32)
+    small = (windows.agg(F.sum(held)).first()[0] or 0) <= max_broadcast
     own = docs.select(docs[key].alias("k"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"), docs[text].alias("text"))
     read = own.withColumn("words", _words(F.col("text")))
     hashed = read.select("k", "t", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
