@@ -253,6 +253,31 @@ def test_lm_probabilities_sum_to_one(spark):
     assert 0.3 < known + 10**end < 1 and 0 < unseen and known + unseen + 10**end < 1
 
 
+def test_mixture_sums_to_one_in_each_domain():
+    lattice = {b"a": 0.4, b"b": 0.3, b"c": 0.2, b"new": 0.1}
+    counts = np.array([[5, 0], [1, 2], [0, 7], [0, 0]])
+    some = lattice_lm.Mixture([3, 2], counts.sum(0), (counts > 0).sum(0), (counts == 1).sum(0), (counts == 2).sum(0), 3)
+    each = 10 ** some.words(counts, np.log10(list(lattice.values())))
+    assert np.allclose(each.sum(0) + 10**some.end, 1)
+    assert math.isclose(some.text(some.words(counts, np.log10(list(lattice.values())))[:1]), math.log10((each[0] * 10**some.end * [0.6, 0.4]).sum()))
+
+
+def test_lm_beats_the_base_where_all_words_are_known(spark):
+    """On held-out texts; the base gives each unseen word the same share, so texts with unseen words can't be compared."""
+    found = [r for r in QUERIES["op6_lattice_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.n_known == r.n_tokens and r.n_tokens > 1]
+    tokens = sum(r.n_tokens for r in found)
+    model, base = sum(r.score for r in found) / tokens, sum(r.base_score for r in found) / tokens
+    print(f"{len(found)} texts: {model:.3f} a token, base {base:.3f}")
+    assert found and model > base
+
+
+def test_lm_takes_other_domains_together(spark):
+    docs = docs_of(spark, *["some words here"] * 40).withColumn("lang", F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 5).cast("string")))
+    for most in (1, 2, 3, 16):
+        found = lattice_lm.lm_scores(docs, domain="lang", max_domains=most).collect()
+        assert len(found) == 40 and all(math.isfinite(r.score) and r.score < 0 for r in found)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav>
 <div class="cookie-banner">We use cookies</div><div class="content"><article><h1>Title {n}</h1><p>First &lt;b&gt; <b>bold</b>
   text {n}&nbsp;&#233;.</p><aside>Related</aside><p>Second<br>line</p><div class="advert">Buy</div></article><form><input>Search</form></div>
