@@ -2,7 +2,7 @@
 
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed. Per host a line counts once for each
 distinct document (documents of equal text are one). Lines found in more documents than the limit, the larger
-of max_docs and max_share of the host's documents, are removed, and documents that keep fewer than min_words
+of max_docs and max_share of the host's documents, are removed from the texts, and documents that keep fewer than min_words
 words or less than min_rest of their words are rejected. Two fixed rules come first: too few words, or too many
 words in repeated five-word windows.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, per_batch, same, table
 
 SYMBOLS = b"#*$%&|<>"
-PROFILE = "k long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host string, doc long, lines array<struct<h:long,words:long>>"
+PROFILE = "k long, data binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host string, doc long, lines array<struct<h:long,words:long>>"
 
 
 def _signed(x: int) -> int:
@@ -41,13 +41,22 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return sum(hit)
 
 
+def _line_hash(own: list[bytes]) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(own).lower()))
+
+
+def without(data: bytes, gone: set[int]) -> bytes:
+    """The text without the lines of these hashes; lines without words stay."""
+    return b"\n".join(line for line in data.split(b"\n") if not (own := line.split()) or _line_hash(own) not in gone)
+
+
 def profile(data: bytes) -> dict:
     words, lines, seen, n_dup = data.split(), Counter(), set(), 0
     for line in data.split(b"\n"):
         if own := line.split():
             n_dup += line in seen
             seen.add(line)
-            lines[_signed(xxhash.xxh64_intdigest(b" ".join(own).lower()))] += len(own)
+            lines[_line_hash(own)] += len(own)
     joined = b"".join(words)
     return {
         "n_words": len(words), "word_chars": len(joined.decode("utf-8", "replace")), "n_symbols": sum(data.count(bytes([c])) for c in SYMBOLS),
@@ -62,13 +71,19 @@ def _profiles(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = [profile(x or b"") for x in batch.column("data").to_pylist()]
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     own = {n: pa.array([r[n] for r in rows], pa.int64()) for n in (*numbers, "doc")} | {"lines": pa.array([r["lines"] for r in rows], LINES)}
-    return pa.RecordBatch.from_pydict({"k": batch.column("k")} | {n: own[n] for n in numbers} | {"host": batch.column("host"), "doc": own["doc"], "lines": own["lines"]})
+    return pa.RecordBatch.from_pydict({"k": batch.column("k"), "data": batch.column("data")} | {n: own[n] for n in numbers} | {"host": batch.column("host"), "doc": own["doc"], "lines": own["lines"]})
+
+
+def _cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [without(x, set(gone)) if x and gone else x for x, gone in zip(batch.column("data").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+    columns = {c: batch.column(c) for c in batch.schema.names if c not in ("data", "gone")}
+    return pa.RecordBatch.from_pydict(columns | {"cleaned": pa.array(texts, pa.binary()), "rest": pa.array([len((x or b"").split()) for x in texts], pa.int64())})
 
 
 def line_rules(
     docs: DataFrame, max_docs: int = 100, max_share: float = 0.01, min_words: int = 10, min_rest: float = 0.5, max_repeat_percent: int = 20, text: str = "text", key: str = "doc_id", host: str = "source"
 ) -> DataFrame:
-    """One row for each row of docs: the base columns, base_failed, n_line_words (words in removed lines) and kept."""
+    """One row for each row of docs: the base columns, base_failed, n_line_words (words in removed lines), kept and cleaned, the text without its removed lines."""
     ws = Workspace(docs.sparkSession, "line-rules")
     source = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("binary").alias("data"), docs[host].cast("string").alias("host"))
     rows = ws.save(source.mapInArrow(per_batch(_profiles), PROFILE).withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -76,18 +91,20 @@ def line_rules(
     often = lines.groupBy("host", "h").agg(F.count_distinct("doc").alias("n")).filter(F.col("n") > max_docs)
     hosts = rows.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
     above = same(often, hosts, ["host"], "inner").filter(F.col("n") > F.col("docs") * max_share).select("host", "h")
-    removed = same(lines, above, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("words").alias("n_line_words"))
-    joined = rows.drop("lines").join(removed, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)))
+    removed = same(lines, above, ["host", "h"], "left_semi").groupBy("row").agg(F.collect_set("h").alias("gone"))
+    wanted = rows.drop("lines", "host", "doc").join(removed, "row", "left").drop("row")
+    shape = ", ".join(f"{c} long" for c in wanted.columns if c not in ("data", "gone")) + ", cleaned binary, rest long"
+    joined = wanted.mapInArrow(per_batch(_cleaned), shape).withColumn("n_line_words", F.col("n_words") - F.col("rest"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rest = F.col("n_words") - F.col("n_line_words")
-    kept = ~failed & (rest >= min_words) & (rest >= F.col("n_words") * min_rest)
+    kept = ~failed & (F.col("rest") >= min_words) & (F.col("rest") >= F.col("n_words") * min_rest)
     return joined.select(
-        F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", kept.alias("kept")
+        F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", kept.alias("kept"),
+        F.col("cleaned").cast("string").alias("cleaned"),
     )
 
 
 def op9_line_rules(spark, sf_dir: str) -> DataFrame:
-    return line_rules(table(spark, sf_dir, "documents"))
+    return line_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
 OP9_SQL = r"""
