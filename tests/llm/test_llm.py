@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from watchshelf.llm import chat, decontaminate, lattice_lm, line_dedup, line_rules, mixing, quality, simhash, site_tree, suffix_dedup
+from watchshelf.llm import chat, decontaminate, lattice_lm, line_dedup, line_rules, mixing, quality, similar, simhash, site_tree, suffix_dedup
 from watchshelf.llm.common import Workspace, table
 from watchshelf.llm.components import components
 from watchshelf.llm.queries import ORACLES, QUERIES
@@ -46,7 +46,7 @@ def edge_dir(spark, tmp_path_factory):
     spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(99, 1, 0), (4, None, None), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     pages = [(1, "http://a/x", "<p>x &amp; y"), (2, None, None), (3, "http://a/y", ""), (4, "", "<div><p>unclosed <b>bold</p><p>next"), (5, "http://a/z", "<" * 5000), (6, "http://b", "<div>" * 3000 + "deep")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
-    turns = [(1, 0, "user", None), (1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant\n<\\|x|>"), (2, 0, "assistant", ""), (3, 0, "user", "é漢"), (3, 0, "user", "é漢"), (3, 1, None, "n"), (4, 5, "assistant", "a"), (4, 9, "assistant", "b")]
+    turns = [(1, 0, "user", None), (1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant\n<\\|x|>"), (2, 0, "assistant", ""), (3, 0, "user", "é漢"), (3, 0, "user", "é漢"), (3, 1, None, "n"), (4, 5, "assistant", "a"), (4, 9, "assistant", "b"), (None, 0, "user", "no id"), (None, 0, "user", "no id"), (None, 1, "assistant", "x" * 50_000)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
@@ -68,14 +68,10 @@ def test_nulls_repeats_and_empty_tables(spark, edge_dir, tmp_path, name):
         twice = df.unionAll(df.limit(6)).unionAll(df.limit(4).withColumn(first, F.lit(None).cast("long"))).withColumns({c: F.lit("clash") for c in CLASHING})
         twice.write.parquet(f"{odd}/{n}.parquet")
         df.limit(0).write.parquet(f"{none}/{n}.parquet")
-    n_rows = spark.read.parquet(f"{odd}/{'pages' if name.startswith('op7') else 'documents'}.parquet").count()
-    found = QUERIES[name](spark, str(odd)).count()
-    assert name.startswith("op8") or name.startswith("op2") or found == n_rows
-    if name.startswith("op2"):
-        with pytest.raises(ValueError):
-            QUERIES[name](spark, str(none))
-    else:
-        assert QUERIES[name](spark, str(none)).count() == (1 if name.startswith("op8") else 0)
+    own = spark.read.parquet(f"{odd}/{'pages' if name.startswith('op7') else 'conversations' if name.startswith('op8') else 'documents'}.parquet")
+    n_rows = own.select("conv_id").distinct().count() + 1 if name.startswith("op8") else own.count()
+    assert QUERIES[name](spark, str(odd)).count() == n_rows
+    assert QUERIES[name](spark, str(none)).count() == (1 if name.startswith("op8") else 0)
 
 
 def brute_fingerprint(text):
@@ -195,6 +191,31 @@ def test_quality_on_held_out_labels(spark):
     assert auc > 0.95 and accuracy > 0.9
 
 
+def test_the_risk_and_its_gradient_by_brute_force():
+    rng = np.random.default_rng(2)
+    p, u, w, prior = np.hstack([rng.normal(1, 1, (30, 4)), np.ones((30, 1))]), np.hstack([rng.normal(0, 2, (50, 4)), np.ones((50, 1))]), rng.normal(0, 1, 5), 0.4
+
+    def brute(w):
+        loss = lambda x, y: sum(math.log1p(math.exp(-y * sum(a * b for a, b in zip(r, w, strict=True)))) for r in x) / len(x)
+        return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+    positive, negative, up, down = quality.risk(w, p, u, prior)
+    assert np.allclose((positive, negative), brute(w))
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        slopes = (np.array(brute(w + step)) - np.array(brute(w - step))) / 2e-6
+        assert np.allclose((up[i], down[i]), slopes, atol=1e-5)
+
+
+def test_the_prior_is_estimated_from_features_alone():
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.9):
+        good, bad = rng.normal(2, 1, (4000, 3)), rng.normal(-2, 1, (4000, 3))
+        n = int(share * 3000)
+        unlabelled = rng.permutation(np.concatenate([good[3000 : 3000 + min(n, 1000)], rng.normal(2, 1, (max(0, n - 1000), 3)), bad[: 3000 - n]])).astype(np.float32)
+        assert abs(quality.estimated_prior(good[:3000].astype(np.float32), unlabelled) - share) < 0.05
+
+
 def test_quality_without_positives_is_undecided(spark):
     docs = docs_of(spark, "some text", None, "more")
     none = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
@@ -326,7 +347,7 @@ def test_reply_trees_by_brute_force(spark):
 
 def test_cycles_belong_to_no_path(spark):
     messages = spark.createDataFrame([(1, 1, 2, "user", "a", 0.0), (1, 2, 1, "user", "b", 0.0), (2, 1, None, "user", "c", None)], "tree long, node long, parent long, role string, text string, score double")
-    assert [r.tree for r in chat.conversations_of(messages, max_rounds=6).collect()] == [2]
+    assert [r.tree for r in chat.conversations_of(messages).collect()] == [2]
 
 
 def test_templates_read_back(spark):
@@ -358,24 +379,11 @@ def test_line_dedup_keeps_other_columns(spark):
 def test_line_rules_reject_depleted_documents(spark):
     foot = "Terms and conditions of this web site apply to every reader"
     texts = [f"{foot}\nA sentence of its own with number {i} and a few more words to read here" for i in range(20)] + [f"{foot}\nshort {i} text" for i in range(5)]
-    found = {r.doc_id: r for r in line_rules.line_rules(docs_of(spark, *texts, clash=True), max_docs=10).collect()}
+    found = {r.doc_id: r for r in line_rules.line_rules(docs_of(spark, *texts, clash=True)).collect()}
     assert all(found[i].kept and found[i].n_line_words == 11 for i in range(20))
     assert not any(found[i].kept or found[i].base_failed for i in range(20, 25))
 
 
-def test_mixing_meets_its_targets(spark):
-    folder = "/root/testdata/sf0.01"
-    docs = table(spark, folder, "documents")
-    fitted = mixing.mix(docs, mixing.labelled_documents(docs, table(spark, folder, "labels")), mixing.TARGETS).collect()
-    sums = {d: sum(r.rate * r.n_tokens * r.posterior[d] for r in fitted) for d in mixing.TARGETS}
-    shares = {d: s / sum(sums.values()) for d, s in sums.items()}
-    assert all(abs(shares[d] - w) < 0.002 for d, w in mixing.TARGETS.items()), shares
-    assert min(r.rate for r in fitted) >= 1 and min(r.copies for r in fitted) >= 1
-    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
-    told = [max(r.posterior, key=r.posterior.get) == lang[r.k] for r in fitted if r.n_tokens > 50]
-    assert sum(told) / len(told) > 0.9
-
-
 def test_pipeline_stages_keep_clean_documents(spark):
     import corpus_pipeline
 
@@ -391,8 +399,7 @@ def test_pipeline_stages_keep_clean_documents(spark):
             good = table(spark, folder, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
             assert docs.join(good, "doc_id").count() - out.join(good, "doc_id").count() <= 1
         if name == "near_duplicates":
-            found = simhash.near_duplicates(docs)
-            assert out.count() == found.select("component").distinct().count()
+            assert out.count() == similar.groups(docs).select("root").distinct().count()
         if name == "benchmark":
             hit = decontaminate.contamination(out, table(spark, folder, "benchmark")).filter(F.size("hit") > 0)
             assert hit.isEmpty()

@@ -1,14 +1,19 @@
 """Chat formatting of reply trees.
 
-A table of messages holds node and parent within a tree. Root-to-leaf paths are enumerated by self-joins that
-double the distance each time, so a path of n messages takes log2(n) rounds. Branches are ranked by the mean
-score of their messages (then by length, then by the smaller leaf), and each of the best is written as one
-conversation. The template opens a turn with <|im_start|>role and a line feed and closes it with <|im_end|> and
-a line feed. In texts every `<`, any number of backslashes and `|` gets one backslash more, so no text can hold
-a control string and the change can be undone; in roles `%` and line feeds are percent-coded as well.
-
-Defined results: null text and role are empty; a parent that doesn't exist makes its child a root; messages on a
-cycle have no root and belong to no path; empty tables give empty results. Only DataFrame functions are used.
+A table of messages holds node and parent within a tree. Self-joins double the distance from each message to an
+ancestor until all have met their root, so a tree n messages deep takes log2(n) rounds; each carries the sum of scores
+and the number of messages passed, so every round has one row for each message, whatever the shape of the trees.
+Leaves, one for each root-to-leaf path, are ranked by the mean score of their path (then by length, then by the smaller
+leaf), and the same jumps, joined to the chosen leaves alone, list the messages of their paths, each of which is
+formatted as one conversation. The template opens a turn with <|im_start|>role and a line feed and closes it with
+<|im_end|> and a line feed. In texts every `<`, any number of backslashes and `|` gets one backslash more, so no text
+can hold a control string and the change can be undone; in roles `%` and line feeds are percent-coded as well.
+
+Defined results: null text and role are empty, null scores 0; a null tree is a tree like others; of rows that share tree
+and node the one with the smallest (parent, role, text, score) counts, nulls first; messages without a node are left
+out, for nothing could answer them; a parent that doesn't exist makes its child a root; messages on a cycle, or that
+descend from one, have no root and belong to no path; a very long text or conversation is one row of the result; empty
+tables give empty results. Other columns are not read. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -37,38 +42,54 @@ def _role_in(role: Column) -> Column:
     return F.replace(F.replace(unguarded(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def paths(messages: DataFrame, ws: Workspace, max_rounds: int = 40) -> DataFrame:
-    """tree, leaf, node, up (steps from the leaf) for each message on each root-to-leaf path of (tree, node, parent)."""
-    nodes = ws.save(messages.select("tree", "node", "parent"), "nodes")
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    jump = nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to"))
-    leaves = nodes.join(jump.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump = ws.save(jump, "jump0")
-    for k in range(max_rounds):
-        if jump.isEmpty():
+def jumps(messages: DataFrame, ws: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """For unique (tree, node, parent, score): tables of tree, node, to (the ancestor 1, 2, 4 ... steps up), and the messages that have a root with
+    leaf (whether nothing answers them), score (the sum on the way from the root) and n_turns.
+
+    No way is longer than its tree has messages, so what hasn't met a root by then never will.
+    """
+    nodes = ws.save(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "nodes")
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    answered = nodes.select("tree", F.col("parent").alias("node")).filter("node IS NOT NULL").distinct().withColumn("answered", F.lit(True))
+    start = nodes.join(known, ["tree", "parent"], "left").join(answered, ["tree", "node"], "left")
+    state = ws.save(start.select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("to"), F.col("answered").isNull().alias("leaf"), "score", F.lit(1).cast("long").alias("n_turns")), "jump0")
+    longest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    levels: list[DataFrame] = []
+    while 1 << len(levels) < 2 * longest:
+        if (on := state.filter("to IS NOT NULL")).isEmpty():
             break
+        levels.append(on.select("tree", "node", "to"))
+        far = state.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("score").alias("more"), F.col("n_turns").alias("turns"))
+        further = state.join(far, ["tree", "to"], "left")
+        added = lambda own, more: F.col(own) + F.coalesce(more, F.lit(0))
+        state = ws.save(further.select("tree", "node", F.col("next").alias("to"), "leaf", added("score", "more").alias("score"), added("n_turns", "turns").alias("n_turns")), f"jump{len(levels)}")
+    return levels, state.filter("to IS NULL").drop("to")
+
+
+def paths(leaves: DataFrame, levels: list[DataFrame], ws: Workspace) -> DataFrame:
+    """tree, leaf, node, up (steps from the leaf) for each message on the way from those leaves (tree, leaf) to their root."""
+    found = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(levels):
         further = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = ws.save(found.unionByName(further), f"paths{k + 1}")
-        twice = jump.select("tree", F.col("node").alias("from"), F.col("to").alias("node")).join(jump, ["tree", "node"])
-        jump = ws.save(twice.select("tree", F.col("from").alias("node"), "to"), f"jump{k + 1}")
+        found = ws.save(found.unionByName(further), f"paths{k}")
     return found
 
 
-def conversations_of(messages: DataFrame, top: int = 1, assistant: str = "assistant", max_rounds: int = 40) -> DataFrame:
+def conversations_of(messages: DataFrame, top: int = 1, assistant: str = "assistant") -> DataFrame:
     """messages: tree, node, parent, role, text, score. Returns tree, leaf, rank, score, n_turns, formatted and segments.
 
     segments cover the formatted text in order: text and whether a loss counts on it (assistant texts).
     """
     ws = Workspace(messages.sparkSession, "chat")
-    steps = paths(messages, ws, max_rounds)
-    scored = steps.join(messages.select("tree", "node", "score"), ["tree", "node"])
-    leaves = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count("*").alias("n_turns"))
+    # in a struct, null trees equal each other
+    rows = messages.filter("node IS NOT NULL").select(F.struct("tree").alias("tree"), "node", F.struct("parent", "role", "text", "score").alias("row"))
+    unique = ws.save(rows.groupBy("tree", "node").agg(F.min("row").alias("row")).select("tree", "node", "row.*"), "unique")
+    levels, rooted = jumps(unique, ws)
+    leaves = rooted.filter("leaf").select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("n_turns")).alias("score"), "n_turns")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
     chosen = ws.save(leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top), "chosen")
-    text = F.coalesce("text", F.lit(""))
-    role = F.coalesce("role", F.lit(""))
-    turns = steps.join(chosen.select("tree", "leaf"), ["tree", "leaf"], "left_semi").join(messages.select("tree", "node", role.alias("role"), text.alias("text")), ["tree", "node"])
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    turns = paths(chosen, levels, ws).join(unique.select("tree", "node", role.alias("role"), text.alias("text")), ["tree", "node"])
     part = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
     no = F.lit(False)
     body = F.array(
@@ -77,7 +98,8 @@ def conversations_of(messages: DataFrame, top: int = 1, assistant: str = "assist
     rows = turns.select("tree", "leaf", F.struct((-F.col("up")).alias("at"), body.alias("body")).alias("turn"))
     whole = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     segments = whole.select("tree", "leaf", F.flatten(F.transform("turns", lambda x: x["body"])).alias("segments"))
-    return chosen.join(segments, ["tree", "leaf"]).withColumn("formatted", F.array_join(F.transform("segments", lambda x: x["text"]), ""))
+    formatted = F.array_join(F.transform("segments", lambda x: x["text"]), "")
+    return chosen.join(segments, ["tree", "leaf"]).select(F.col("tree.tree").alias("tree"), "leaf", "rank", "score", "n_turns", "segments", formatted.alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -91,10 +113,10 @@ def read_back(formatted: Column) -> Column:
 def from_turns(conversations: DataFrame) -> DataFrame:
     """A flat table (conv_id, turn, role, text) as reply trees in which each turn answers the one before it.
 
-    Rows of one conversation that share a turn follow in the order of role and text.
+    Rows of one conversation that share a turn follow in the order of role and text, repeated rows included; null is a conv_id like others.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text").filter("tree IS NOT NULL")
+    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text")
     node = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return node.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 

@@ -38,10 +38,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFr
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
 
 
+def drawn(keys: DataFrame, key: str, most: int) -> DataFrame:
+    """At most that many distinct keys that aren't null, the lowest by a hash; so few that they may be broadcast."""
+    return keys.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key, F.lit("drawn")), key).limit(most)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none, as in tests, a temporary one is used."""
+    """The folder that all executors share. Where the session names none, one beside its warehouse, or on one machine a temporary one."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        folder = tempfile.mkdtemp(prefix="watchshelf-")
+        alone = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        folder = tempfile.mkdtemp(prefix="watchshelf-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_watchshelf"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -61,6 +67,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        for made in _watchers:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again; its shuffle files go as soon as it is written."""
@@ -69,12 +77,28 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        """Deletes tables that nothing reads any more; without names, all of them."""
+        for at in [f"{self.root}/{n}" for n in names] or [self.root]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_watchers: list[list[Workspace]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Deletes the tables of all workspaces that are made inside, at the end; by then the results must be written elsewhere."""
+    made: list[Workspace] = []
+    _watchers.append(made)
+    try:
+        yield
+    finally:
+        _watchers.remove(made)
+        for ws in made:
+            ws.drop()
+
+
 def per_batch(make: Callable[[list], object]) -> Callable:
     """For mapInArrow: make gets a batch's columns as lists and returns a record batch."""
 

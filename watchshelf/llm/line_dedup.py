@@ -7,7 +7,9 @@ are removed, and the covered positions of overlapping windows merge.
 
 Defined results: null text is read as empty; fewer than three visible lines: nothing removed; rows that repeat
 both doc_id and text are one document and come back as often as they came; rows that share only the doc_id are
-separate documents, ordered by a hash of their text; null doc_id sorts first. Other columns pass through.
+separate documents, ordered by a hash of their text; null doc_id sorts first; the work for a very long text grows in
+proportion to its lines; an empty table gives an empty result. Other columns pass through, but n_lines and n_removed
+of the input are replaced by the operator's own.
 """
 
 from __future__ import annotations
@@ -46,11 +48,21 @@ def _windows(text: Column, width: int) -> Column:
     )
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at those positions. The outer transform over one element splits the text once."""
+    bound = F.array(F.struct(_lines(text).alias("lines"), gone.alias("gone")))
+    rest = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+    return F.get(F.transform(bound, lambda x: F.array_join(F.transform(rest(x), lambda i: F.get(x["lines"], i)), "\n")), F.lit(0))
+
+
 def line_dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the removed lines gone from the text, plus n_lines and n_removed (long)."""
     ws = Workspace(docs.sparkSession, "line-dedup")
     text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    windows = ws.save(docs.select(F.col(key).alias("k"), text_key.alias("t"), F.explode(_windows(F.col(text), width)).alias("w")).select("k", "t", "w.*"), "windows")
+    # The list is a column of its own before it is exploded, or each window would carry and hash the whole text; and
+    # explode_outer keeps Spark from adding a filter on the list's size that computes all windows once more.
+    listed = docs.select(F.col(key).alias("k"), text_key.alias("t"), _windows(F.col(text), width).alias("ws"))
+    windows = ws.save(listed.select("k", "t", F.explode_outer("ws").alias("w")).filter("w IS NOT NULL").select("k", "t", "w.*"), "windows")
     place = F.struct("k", "t", "first")
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = windows.join(firsts, ["a", "b"]).filter(~place.eqNullSafe(F.col("kept")))
@@ -59,11 +71,10 @@ def line_dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "
     keyed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], docs[key].alias("k"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"))
     joined = same(keyed, gone, ["k", "t"], "left")
     at = docs.columns.index(text)
-    lines = _lines(F.col(f"c{at}"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    rest = F.when(F.col("__gone").isNull(), F.coalesce(F.col(f"c{at}"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    whole = F.coalesce(F.col(f"c{at}"), F.lit(""))
+    rest = F.when(F.col("__gone").isNull(), whole).otherwise(_without(whole, F.col("__gone")))
     columns = [rest.alias(c) if c == text else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*columns, F.size(_lines(whole)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,119 +2,183 @@
 
 A naive Bayes classifier over hashed words is counted from a labelled table and gives every document a
 posterior over the domains (sharpened only with the square root of its length, so that long texts stay soft).
-Nonnegative rates are then fitted so that the expected tokens of each domain, the sum of rate * tokens *
-posterior, meet the targets: projected gradient descent on the squared relative misses. Scaled by each domain's
-own tokens the normal matrix is similar to a stochastic one, so its largest eigenvalue is 1 and a unit step is
-safe. A step needs one sum per domain over all documents; rates are re-derived from the misses of earlier steps,
-so nothing but these sums (one number per domain) reaches the driver.
-
-Defined results: null text has no tokens, its posterior is the prior; labelled rows without a domain, or with
-one that has no target, are ignored; targets of domains without any labelled row are left out and the others
-scaled up; rows that repeat doc_id and text are fitted as one document and each get its rate. Only DataFrame
-functions are used.
+Rates are then fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior, meet the
+targets: projected gradient on the least squares of the relative misses (with a slight pull of all rates to 1, which
+settles between equal fits). The gradient of a row is its posterior times one number for each domain, so all steps
+together are such numbers too, and a row's rate is 1 less its posterior times them, projected onto rates of at least
+`least` (0 or more). A step is one pass over all rows that sums, for each domain, what the rates reach, and for each two
+domains what rows share that the bound leaves free; by these shares the step is scaled, so that few passes suffice.
+Nothing but these sums reaches the driver. The fit ends where the gradient is zero: with the targets met or, if the
+bound keeps them out of reach, with the least misses. A fit that doesn't get there raises.
+
+The classifier learns from at most max_labelled labelled documents, drawn by a hash of their keys (a documented bound
+on labelled rows; all documents are scored and fitted). Its numbers, buckets * domains of them, travel inside the
+plan, so scoring is a projection over whole texts: no join, no row for each word, and no shuffle of texts.
+
+Defined results: null text is empty; an empty text has no tokens and its posterior is the prior; a very long text is
+one row of work, linear in its words; labelled rows without a domain, or with one that has no target, are ignored;
+targets of domains without any labelled row are left out and the others scaled up; without any labelled row
+posteriors are the targets' shares and all rates are 1 (or `least` where that is more); repeated rows are rows of their
+own, scored alike; null keys are scored like others; an empty table gives an empty result. Only DataFrame functions
+are used.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAKS, Workspace, same, table
-
-#: The model broadcast to score documents has one number for each bucket and domain; these two bound it.
-BUCKETS, MAX_DOMAINS = 8192, 64
-
-
-def _tokens(docs: DataFrame, text: str, *keep: Column, buckets: int) -> DataFrame:
-    """A row for each word, and one without a bucket for a text without words."""
-    word = F.explode(F.split(F.coalesce(docs[text], F.lit("")), WORD_BREAKS)).alias("word")
-    return docs.select(*keep, word).select("*", F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")).alias("bucket")).drop("word")
-
-
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], domain: str, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS) -> tuple[DataFrame, list[str]]:
-    """k, t (a hash of the text), n_tokens and p, the posterior over the returned domains, those with labelled rows."""
-    if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"at most {MAX_DOMAINS} domains")
-    ws = Workspace(docs.sparkSession, "mixing-model")
-    rows = _tokens(labelled.filter(labelled[domain].isin(domains)), text, labelled[domain].alias("domain"), buckets=buckets)
-    counts = ws.save(rows.groupBy("domain", "bucket").count(), "counts")  # at most buckets * domains rows
-    prior = labelled.filter(labelled[domain].isin(domains)).groupBy(labelled[domain].alias("domain")).count()
-    sizes = {r["domain"]: r["count"] for r in prior.collect()}
-    totals = {r["domain"]: r["n"] for r in counts.filter("bucket IS NOT NULL").groupBy("domain").agg(F.sum("count").alias("n")).collect()}
-    known = [d for d in domains if d in sizes]
-    if not known:
-        raise ValueError("no labelled row has a domain with a target")
-    own = [F.log((F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("count"))), F.lit(0)) + 0.5) / (totals.get(d, 0) + 0.5 * buckets)) for d in known]
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    model = every.join(counts, "bucket", "left").groupBy("bucket").agg(*[c.alias(f"m{i}") for i, c in enumerate(own)])
-    tokens = _tokens(docs, text, docs[key].alias("k"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"), buckets=buckets)
-    summed = tokens.join(F.broadcast(model), "bucket", "left").groupBy("k", "t").agg(F.count("bucket").alias("n_tokens"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(known))])
-    total = sum(sizes.values())
-    logits = F.array(*[F.lit(1.0) * F.log(F.lit(sizes[d] / total)) + F.coalesce(F.col(f"m{i}"), F.lit(0.0)) / F.sqrt(F.greatest("n_tokens", F.lit(1))) for i, d in enumerate(known)])
-    shifted = summed.select("k", "t", "n_tokens", logits.alias("g")).select("k", "t", "n_tokens", F.transform("g", lambda x: F.exp(x - F.array_max("g"))).alias("g"))
-    share = F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
-    return shifted.select("k", "t", "n_tokens", F.transform("g", lambda x: x / share).alias("p")), known
-
-
-def fit_rates(soft: DataFrame, weights: list[float], total_tokens: float | None = None, headroom: float = 1.02, steps: int = 30, tolerance: float = 1e-4) -> tuple[Column, list[dict]]:
-    """The rate as a column of soft (n_tokens, p), and the relative misses of each step.
+from .common import WORD_BREAKS, Workspace, drawn, table
+
+BUCKETS = 8192
+#: The classifier learns from so many labelled documents at most.
+MAX_LABELLED = 20_000
+#: The pull of rates to 1, against the squared misses.
+PULL = 1e-5
+
+
+def _buckets(text: Column, buckets: int) -> Column:
+    """The bucket of each word of a text, null for what is none."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), WORD_BREAKS), lambda w: F.when(w != "", F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
+
+
+class Model:
+    """Log priors, and for each domain the log shares of the buckets, as columns of doubles that are part of the plan."""
+
+    def __init__(self, domains: list[str], priors: list[float], shares: list[list[float]], buckets: int, trained: bool = True):
+        self.domains, self.priors, self.buckets, self.trained = domains, priors, buckets, trained
+        self.shares = [F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>") for x in shares]
+
+    def scored(self, docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+        """docs' kept columns with n_tokens and p, the posterior over the domains."""
+        read = docs.select(*keep, _buckets(docs[text], self.buckets).alias("__words"))
+        known = len(self.domains)
+        total = lambda shares: F.aggregate("__words", F.lit(0.0), lambda a, w: a + F.coalesce(F.get(shares, w), F.lit(0.0)))
+        sums = [total(m).alias(f"__m{d}") for d, m in enumerate(self.shares)]
+        names = [c for c in read.columns if c != "__words"]
+        summed = read.select(*names, F.size(F.filter("__words", lambda w: w.isNotNull())).cast("long").alias("n_tokens"), *sums)
+        logits = F.array(*[F.lit(self.priors[d]) + F.col(f"__m{d}") / F.sqrt(F.greatest("n_tokens", F.lit(1))) for d in range(known)])
+        shifted = summed.select(*names, "n_tokens", logits.alias("__g")).select(*names, "n_tokens", F.transform("__g", lambda x: F.exp(x - F.array_max("__g"))).alias("__g"))
+        share = F.aggregate("__g", F.lit(0.0), lambda a, x: a + x)
+        return shifted.select(*names, "n_tokens", F.transform("__g", lambda x: x / share).alias("p"))
+
+
+def labelled_model(labelled: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text", buckets: int = BUCKETS) -> Model:
+    """Counts the classifier; the counts, at most buckets * domains numbers, are all that the driver gets."""
+    domains = sorted(targets)
+    rows = labelled.filter(labelled[domain].isin(domains)).select(labelled[domain].alias("domain"), _buckets(labelled[text], buckets).alias("words"))
+    rows = Workspace(labelled.sparkSession, "mixing-labelled").save(rows, "rows")
+    sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    if not (known := [d for d in domains if d in sizes]):
+        # equal shares of the words leave the priors, which are the targets' shares
+        return Model(domains, [_log(targets[d] / sum(targets.values())) for d in domains], [[0.0] for _ in domains], buckets, trained=False)
+    counts: dict[str, dict[int, int]] = {d: {} for d in known}
+    for r in rows.select("domain", F.explode("words").alias("bucket")).filter("bucket IS NOT NULL").groupBy("domain", "bucket").count().collect():
+        counts[r["domain"]][r["bucket"]] = r["count"]
+    under = {d: sum(counts[d].values()) + 0.5 * buckets for d in known}
+    shares = [[_log((counts[d].get(b, 0) + 0.5) / under[d]) for b in range(buckets)] for d in known]
+    return Model(known, [_log(sizes[d] / sum(sizes.values())) for d in known], shares, buckets)
+
+
+def _log(x: float) -> float:
+    return math.log(x) if x > 0 else -700.0
+
+
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small system of equations, by elimination with pivots."""
+    rows = [[*r, b] for r, b in zip(matrix, right, strict=True)]
+    n = len(rows)
+    for i in range(n):
+        best = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        for j in range(n):
+            if j != i:
+                part = rows[j][i] / rows[i][i]
+                rows[j] = [x - part * y for x, y in zip(rows[j], rows[i], strict=True)]
+    return [r[n] / r[i] for i, r in enumerate(rows)]
+
+
+def fit_rates(soft: DataFrame, weights: list[float], total_tokens: float | None = None, headroom: float = 1.02, least: float = 0.0, steps: int = 300, tolerance: float = 1e-5) -> tuple[Column, list[list[float]]]:
+    """The rate as a column of soft (n_tokens, p), and the relative misses of each step (the last: of the result).
 
     total_tokens None: the smallest total that thins no domain, times headroom.
     """
-    size = len(weights)
-    domains = range(size)
-    sums = lambda rate: [F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(d))).alias(f"s{d}") for d in domains]
-    scale = sum(weights)
-    weights = [w / scale for w in weights]
-    natural = [x or 0.0 for x in soft.agg(*sums(F.lit(1.0))).first()]
+    domains = range(len(weights))
+    tokens, p = F.col("n_tokens"), [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) for d in range(len(weights))]
+    weights = [w / sum(weights) for w in weights]
+    natural = [x or 0.0 for x in soft.agg(*[F.sum(tokens * p[d]).alias(f"n{d}") for d in domains]).first()]
     if total_tokens is None:
         total_tokens = headroom * max((n / w for n, w in zip(natural, weights, strict=True) if w > 0), default=0.0)
     targets = [w * total_tokens for w in weights]
-    rate, reached, history = F.lit(1.0), natural, []
+    weight = [max(n, 1.0) ** 2 / max(sum(natural), 1.0) for n in natural]
+    at = [0.0 for _ in domains]  # the steps so far
+    trial, step, history = at, at, []
+    height, slope, share = math.inf, 0.0, 1.0
     for _ in range(steps):
-        miss = [(r - t) / n if n > 0 else 0.0 for r, t, n in zip(reached, targets, natural, strict=True)]
-        history.append(dict(enumerate(miss)))
-        if max(map(abs, miss), default=0.0) <= tolerance:
-            break
-        rate = F.greatest(F.lit(0.0), rate - reduce(Column.__add__, [F.get("p", F.lit(d)) * F.lit(miss[d]) for d in domains]))
-        reached = [x or 0.0 for x in soft.agg(*sums(rate)).first()]
-    return rate, history
+        free = F.lit(1.0) - reduce(Column.__add__, [p[d] * F.lit(trial[d]) for d in domains])
+        rate = F.greatest(F.lit(float(least)), free)
+        reached = [F.sum(rate * tokens * p[d]).alias(f"s{d}") for d in domains]
+        shared = [F.sum(F.when(free > least, tokens * p[d] * p[e])).alias(f"g{d}_{e}") for d in domains for e in range(d + 1)]
+        area = F.sum(tokens * (rate * free - rate * rate / 2)).alias("area")
+        sums = {c: x or 0.0 for c, x in soft.agg(area, *reached, *shared).first().asDict().items()}
+        miss = [sums[f"s{d}"] - targets[d] for d in domains]
+        history.append([m / max(n, 1.0) for m, n in zip(miss, natural, strict=True)])
+        gradient = [miss[d] - PULL * weight[d] * trial[d] for d in domains]
+        if max((abs(x) / max(n, 1.0) for x, n in zip(gradient, natural, strict=True)), default=0.0) <= tolerance:
+            return rate, history
+        # the convex function of the steps whose slope is the gradient; a step that doesn't lower it is halved
+        now = sums["area"] + sum(t * x + PULL * w * x * x / 2 for t, w, x in zip(targets, weight, trial, strict=True))
+        if now > height - 1e-4 * share * slope + 1e-12 * abs(height):
+            share /= 2
+        else:
+            matrix = [[sums[f"g{max(d, e)}_{min(d, e)}"] + (PULL * weight[d] if d == e else 0.0) for e in domains] for d in domains]
+            at, height, step, share = trial, now, _solved(matrix, gradient), 1.0
+            slope = sum(a * b for a, b in zip(gradient, step, strict=True))
+        trial = [x + share * y for x, y in zip(at, step, strict=True)]
+    raise RuntimeError(f"rates did not settle in {steps} steps; the relative misses are {history[-1]}")
+
+
+def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str, text: str, keep: list[Column], key: str, least: float = 0.0, **options) -> DataFrame:
+    """The kept columns with n_tokens, posterior (by domain), rate and copies, the rate rounded up or down by a hash of the row, so that it equals the rate on average."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    model = labelled_model(labelled, targets, domain, text)
+    draw = F.pmod(F.xxhash64(docs[key], docs[text], F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    soft = ws.save(model.scored(docs, text, *keep, draw.alias("__draw")), "posteriors")
+    if model.trained:
+        rate, _ = fit_rates(soft, [targets[d] for d in model.domains], least=least, **options)
+    else:
+        rate = F.lit(max(1.0, least))
+    fitted = soft.withColumn("rate", rate)
+    named = F.map_from_arrays(F.array(*map(F.lit, model.domains)), "p").alias("posterior")
+    names = [c for c in soft.columns if c not in ("n_tokens", "p", "__draw")]
+    return fitted.select(*names, "n_tokens", named, "rate", F.floor(F.col("rate") + F.col("__draw")).alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs' rows as key columns with n_tokens, posterior (by domain), rate and copies.
-
-    copies is the rate rounded up or down by a hash of the row, so that it equals the rate on average.
-    """
-    ws = Workspace(docs.sparkSession, "mixing")
-    soft, known = posteriors(docs, labelled, sorted(targets), domain, text, key)
-    soft = ws.save(soft, "posteriors")
-    rate, _ = fit_rates(soft, [targets[d] for d in known], **options)
-    draw = F.pmod(F.xxhash64("k", "t", F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    named = F.map_from_arrays(F.array(*map(F.lit, known)), "p").alias("posterior")
-    return soft.withColumn("rate", rate).select("k", "t", "n_tokens", named, "rate", F.floor(F.col("rate") + draw).alias("copies"))
+    """For each row of docs: its key, n_tokens, posterior (a map), rate and copies. options: those of fit_rates."""
+    return _fitted(docs, labelled, targets, domain, text, [docs[key].alias(key)], key, **options)
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str = "lang", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """Each row of docs as often as its rate says, with n_tokens, rate and copy (1, 2, ...); its own columns of these names are replaced."""
-    fitted = mix(docs, labelled, targets, text=text, key=key, **options)
-    keyed = docs.select(docs[key].alias("k"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("t"), F.struct(*[docs[c] for c in docs.columns if c not in ("n_tokens", "rate", "copy")]).alias("row"))
-    joined = same(keyed, fitted.select("k", "t", "n_tokens", "rate", "copies"), ["k", "t"], "inner")
-    return joined.filter("copies > 0").select("row.*", "n_tokens", "rate", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    row = F.struct(*[docs[c] for c in docs.columns if c not in ("n_tokens", "rate", "copy")]).alias("__row")
+    fitted = _fitted(docs, labelled, targets, domain, text, [row], key, **options).filter("copies > 0")
+    return fitted.select("__row.*", "n_tokens", "rate", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
 
 
 #: Shares of the mixed tokens by language, the domain of the documents that their texts can tell.
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the table of labels vouches for."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+def labelled_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """At most max_labelled of the documents that the table of labels vouches for, drawn by a hash of their keys."""
+    known = docs.select(key).join(labels.select(key), key, "left_semi")
+    return docs.join(F.broadcast(drawn(known, key, max_labelled)), key, "left_semi")
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fitted = mix(docs, labelled_documents(docs, table(spark, sf_dir, "labels")), TARGETS)
-    return fitted.withColumnRenamed("k", "doc_id").drop("t")
+    return mix(docs, labelled_documents(docs, table(spark, sf_dir, "labels")), TARGETS)
