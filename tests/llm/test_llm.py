@@ -301,14 +301,14 @@ def test_lm_takes_other_domains_together(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav>
 <div class="cookie-banner">We use cookies</div><div class="content"><article><h1>Title {n}</h1><p>First &lt;b&gt; <b>bold</b>
-  text {n}&nbsp;&#233;.</p><aside>Related</aside><p>Second<br>line</p><div class="advert">Buy</div></article><form><input>Search</form></div>
+  text {n}&nbsp;&#233;.</p><aside>Related</aside><p>Second<br>line of {n}</p><div class="advert">Buy</div></article><form><input>Search</form></div>
 <div class="x1">Shared boilerplate of the site</div><div class="comments"><p>Nice!</p></div><script>var a = "<p>no</p>";</script><footer>Imprint</footer></body></html>"""
 
 
 def test_pages_lose_what_is_no_article(spark):
     rows = [(i, f"https://host/{i}", PAGE.format(n=i)) for i in range(12)]
     found = {r.page_id: r.text for r in site_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found == {i: f"Title {i} First <b> bold text {i} é. Second line" for i in range(12)}
+    assert found == {i: f"Title {i} First <b> bold text {i} é. Second line of {i}" for i in range(12)}
 
 
 def test_low_importance_branches_go(spark):

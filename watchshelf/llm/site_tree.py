@@ -1,20 +1,28 @@
 """HTML extraction with site style trees.
 
-Pages become trees of block elements. Pages of one host are merged by path (tags and classes from the root, digits
-made alike): a node of the style tree counts how many pages show each sequence of children there (its presentation)
-and each block of text below it (its content). With m pages at a node, presentation importance is the entropy of its
-styles to base m, and content importance 1 less the mean over its texts of log k / log m for a text on k pages; the
-node's importance is (1 - g) * presentation + g * content with g = 0.9 ^ (its kinds of children, 6 at most). Branches
-below the threshold are removed from every page. Nodes that fewer than min_pages pages of a host show are judged by
-the tree of all hosts. Beside that the kinds of branches that are never part of an article (fixed lists below) go, and
-if a page has article or main elements only these are read; html, body, article, main and plain elements inside an
-article are not removed for low importance, so hosts full of copies keep their articles.
-
-Counts are combined within tasks and again before each shuffle, so a host of any size is no single group; what comes
-back to the pages is the list of a host's low paths, which is as long as its templates.
+Pages become trees of block elements. Pages of one host are merged into a style tree: a node is an element's style (tag
+and classes, digits made alike) and its place (how many siblings of that style come before it) below its parent's node.
+For each node the tree counts how many pages show each presentation there (the sequence of its children's styles) and
+each content (all text of the branch). With two further pages assumed that have a presentation and content of their own,
+which keeps nodes of few pages important, both importances are the entropy of these counts, to the base of the number of
+pages: 0 where all pages are alike, 1 where all differ. The importance of the node is
+(1 - g) * presentation + g * content with g = 0.9 ^ (number of presentations). From the top down, branches whose
+importance is below the threshold are removed from each page, in articles too; only html, body, article and main
+themselves stay, and their branches are judged. Pages count once for each distinct article (outside of articles: for
+each distinct html), so copies of a page or of an article don't make it unimportant.
+
+The tree can't tell menus and adverts that differ from page to page from content, since entropy is all it has. So
+elements that are never part of an article go by their kind as well (fixed lists of elements, roles and names below; a
+name counts if all its parts are on the lists), and if a page has article or main elements only these are read.
+
+Counts are combined before they are shuffled by host and node, so a host of any size is no single group. What comes back
+to the pages are the topmost low nodes; they are broadcast while they take at most max_broadcast bytes, beyond that
+they are joined to the nodes that each page has.
 
 Defined results: null html is empty and gives empty text; a null url is a host of its own; tags cut off at the end
-are dropped, unclosed elements end with their parents, stray end tags are ignored; repeated rows are kept.
+are dropped, unclosed elements end with their parents, stray end tags are ignored; repeated rows are kept, null keys are
+carried along; the work for a very long or deep page grows in proportion to its length; empty tables give empty results.
+Columns of the input other than key, url and page are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, same, table
+from .common import Workspace, per_batch, same, table
 
 # Elements and names by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,32 +49,45 @@ NEVER_NAMED = frozenset(
     "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related recommended replies reply responses search share sharing sidebar signup skip "
     "social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Parts that names of such elements may have besides.
+PLAIN_PARTS = frozenset("area article bar block box container entry form group inner item items left link links list main outer page panel post reader right section site slot sticky thread top bottom unit user wrap wrapper".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Names such as has-sidebar speak of other elements.
-ABOUT_OTHERS = frozenset("has no with without".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}
 }
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 KEPT = frozenset("html body article main".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>|<[a-zA-Z/!?][^<]*$""", re.S)
+BARRIERS = frozenset("html body article main div section td th li button".split())
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-NAMES = re.compile(r"[a-z]+")
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+OPEN_QUOTE = re.compile(r"""=\s*(["'])""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PARTS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
+PRIOR_PAGES = 2
+#: Bytes of hosts and low nodes that a broadcast may hold.
+MAX_BROADCAST = 30_000_000
 
 
 class Node:
-    __slots__ = ("children", "key", "never", "path", "plain", "tag", "texts", "within")
+    __slots__ = ("children", "digest", "key", "never", "path", "tag", "texts", "within")
 
-    def __init__(self, tag: str, key: str, path: str, never: bool, plain: bool, within: bool):
-        self.tag, self.key, self.path, self.never, self.plain, self.within = tag, key, path, never, plain, within
-        self.children: list[Node] = []
-        self.texts: list[Node | str] = []  # in page order: children, and texts between which a block boundary is None
+    def __init__(self, tag: str, key: str, path: int, never: bool, within: bool):
+        self.tag, self.key, self.path, self.never, self.within, self.digest = tag, key, path, never, within, 0
+        self.children: dict[str, list[Node]] = {}
+        self.texts: list[Node | str | None] = []  # in page order: children and texts; None is a block boundary
+
+
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id names what is never part of an article; headers belong to it inside of one."""
+    parts = PARTS.findall(value)
+    listed = [x for x in parts if x in NEVER_NAMED and not (inside and x == "header")]
+    return bool(listed) and all(x in NEVER_NAMED or x in PLAIN_PARTS for x in parts)
 
 
 def _look(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """An element's key in the style tree, and whether its kind is never part of an article; inside: of an article, where headers belong to it."""
+    """An element's style, and whether its kind is never part of an article."""
     key, never = tag, tag in NEVER or tag == "header" and not inside
     if tag in ("html", "body", "main"):
         return key, False
@@ -74,9 +95,7 @@ def _look(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                for own in value.split():
-                    parts = NAMES.findall(own)
-                    never = never or ABOUT_OTHERS.isdisjoint(parts) and any(x in NEVER_NAMED and not (inside and x == "header") for x in parts)
+                never = never or any(_named(own, inside) for own in value.split())
                 if name == "class" and value:
                     key += "." + DIGITS.sub("0", ".".join(value.split()))
             elif name == "role":
@@ -88,60 +107,104 @@ def _look(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
     return key, never
 
 
+def tokens(text: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, end) for each text, opening ("<") and closing ("/") tag, each character looked at a few times at most."""
+    at, size = 0, len(text)
+    while at < size:
+        start = text.find("<", at)
+        after = text[start + 1 : start + 2]
+        while start >= 0 and not (after.isascii() and after.isalpha() or after in ("/", "!", "?")):
+            start = text.find("<", start + 1)
+            after = text[start + 1 : start + 2]
+        if start < 0:
+            yield "", text[at:], "", size
+            return
+        if start > at:
+            yield "", text[at:start], "", start
+        if text.startswith("<!--", start):
+            end = text.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        end = text.find(">", start)
+        if end < 0:
+            return  # a tag cut off
+        inner = text[start + 1 : end]
+        if after not in ("/", "!", "?") and (inner.count('"') % 2 or inner.count("'") % 2) and (quote := OPEN_QUOTE.search(QUOTED.sub("", inner))):
+            # a quoted value that holds this >: it ends with the next quote, if that comes before the next tag
+            following = text.find("<", end)
+            shut = text.find(quote[1], end, following if following >= 0 else size)
+            if shut >= 0 and (further := text.find(">", shut, following if following >= 0 else size)) >= 0:
+                end = further
+                inner = text[start + 1 : end]
+        at = end + 1
+        name = NAME.match(inner, 1 if after == "/" else 0)
+        if name and after not in ("!", "?"):
+            yield "/" if after == "/" else "<", name[0].lower(), inner[name.end() :], at
+            if after != "/" and name[0].lower() in RAW:
+                at = yield from _raw(text, name[0].lower(), at)
+
+
+def _raw(text: str, tag: str, at: int) -> Iterator[tuple[str, str, str, int]]:
+    """Skips the content of a script and the like, and gives its end tag; returns where to go on."""
+    shut = re.compile(f"</{tag}", re.I).search(text, at)
+    end = text.find(">", shut.start()) + 1 if shut else 0
+    yield "/", tag, "", end or len(text)
+    return end or len(text)
+
+
 def parse(text: str) -> Node:
     """The tree of a page's block elements; inline elements are transparent unless they are adverts and the like."""
-    root = Node("", "", "", False, False, False)
-    stack, at, low = [root], 0, None
-    while match := TAG.search(text, at):
+    root = Node("", "", 0, False, False)
+    stack, opened, ps, barriers = [root], Counter(), [], []
+
+    def shut(depth: int) -> None:
+        """Closes all elements from that depth on."""
+        while len(stack) > depth:
+            opened[stack.pop().tag] -= 1
+        for marks in (ps, barriers):
+            while marks and marks[-1] >= depth:
+                marks.pop()
+
+    for kind, name, attributes, _ in tokens(text):
         top = stack[-1]
-        if match.start() > at:
-            top.texts.append(text[at : match.start()])
-        at = match.end()
-        tag = match[2]
-        if tag is None:
+        if not kind:
+            top.texts.append(name)
             continue
-        tag = tag.lower()
-        if match[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-            if tag not in INLINE:
+        if kind == "/":
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth].tag != name:
+                    depth -= 1
+                shut(depth)
+            if name not in INLINE:
                 stack[-1].texts.append(None)
             continue
-        if tag in VOID:
-            if tag not in INLINE:
+        if name in VOID:
+            if name not in INLINE:
                 top.texts.append(None)
             continue
-        if tag in INLINE and not top.never and not (match[3] and _look(tag, match[3], True)[1]):
+        if name in INLINE and not top.never and not (attributes and _look(name, attributes, True)[1]):
             continue
-        shut = CLOSES.get(tag)
-        if shut and top.tag in shut:
-            while len(stack) > 1 and stack[-1].tag in shut:
-                stack.pop()
-        elif tag in CLOSE_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in KEPT or stack[depth].tag in ("div", "section", "td", "th", "li", "button"):
-                    break
+        if (ends := CLOSES.get(name)) and top.tag in ends:
+            depth = len(stack) - 1
+            while depth > 1 and stack[depth - 1].tag in ends:
+                depth -= 1
+            shut(depth)
+        elif name in CLOSE_P and ps and (not barriers or ps[-1] > barriers[-1]):
+            shut(ps[-1])
         top = stack[-1]
         within = top.tag in ("article", "main") or top.within
-        key, never = _look(tag, match[3], within)
-        never = never or top.never
-        inside = top.tag in ("article", "main") or top.plain
-        node = Node(tag, key, f"{top.path}/{key}", never, inside and key == tag, within)
-        top.children.append(node)
+        key, never = _look(name, attributes, within)
+        alike = top.children.setdefault(key, [])
+        node = Node(name, key, xxhash.xxh64_intdigest(f"{top.path} {len(alike)} {key}"), never or top.never, within)
+        alike.append(node)
         top.texts.append(node)
-        if tag in RAW:
-            low = text.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            shut = text.find(">", end) + 1 if end >= 0 else 0
-            at = shut or len(text)
-            continue
+        if name == "p":
+            ps.append(len(stack))
+        if name in BARRIERS:
+            barriers.append(len(stack))
+        opened[name] += 1
         stack.append(node)
-    if at < len(text):
-        stack[-1].texts.append(text[at:])
     return root
 
 
@@ -150,71 +213,60 @@ def _block(parts: list[str]) -> str:
     return " ".join((html.unescape(whole) if "&" in whole else whole).split())
 
 
-def own_blocks(node: Node) -> list[str]:
-    """The blocks of text that stand in the node itself."""
-    out, parts = [], []
-    for x in [*node.texts, None]:
-        if isinstance(x, str):
-            parts.append(x)
-        elif parts:
-            if block := _block(parts):
-                out.append(block)
-            parts = []
-    return out
-
-
-def walk(node: Node) -> Iterator[Node]:
-    stack = [node]
+def walk(root: Node) -> list[Node]:
+    """All nodes that aren't out by their kind, parents first."""
+    out, stack = [], [root]
     while stack:
         top = stack.pop()
-        yield top
-        stack.extend(reversed(top.children))
+        out.append(top)
+        stack.extend(x for x in reversed(top.texts) if isinstance(x, Node) and not x.never)
+    return out
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-STYLE, CONTENT = 0, 1
+def page_nodes(page: str) -> list[tuple[int, int, int, int, int]]:
+    """(unit, path, parent, presentation, content) of the page's nodes; the unit tells pages apart: by their article, or else by all their html."""
+    root = parse(page)
+    nodes = walk(root)
+    for node in reversed(nodes):
+        seen = xxhash.xxh64()
+        for x in node.texts:
+            if isinstance(x, str):
+                seen.update(" ".join(x.split()).encode("utf-8", "replace"))
+            elif x is None or not x.never:
+                seen.update(b"\0" if x is None else x.digest.to_bytes(8, "little"))
+        node.digest = seen.intdigest()
+    whole = xxhash.xxh64_intdigest(page.encode("utf-8", "replace"))
+    out, units = [], {id(root): whole}
+    parents = {id(root): 0}
+    for node in nodes:
+        unit = node.digest if node.tag in ("article", "main") and not node.within else units[id(node)]
+        kids = [x for x in node.texts if isinstance(x, Node) and not x.never]
+        for x in kids:
+            units[id(x)], parents[id(x)] = unit, node.path
+        if node.path:
+            style = xxhash.xxh64_intdigest("\0".join(x.key for x in kids))
+            out.append((_signed(unit), _signed(node.path), _signed(parents[id(node)]), _signed(style), _signed(node.digest)))
+    return out
 
 
-def page_counts(page: str) -> set[tuple[int, int, int, int]]:
-    """(path, kind, value, kinds of children) for each style and text that the page shows at a node of the style tree."""
-    found: set[tuple[int, int, int, int]] = set()
-    styles: dict[str, set[str]] = {}
-    kinds: dict[str, set[str]] = {}
-    for node in walk(parse(page)):
-        if node.never:
-            node.children = []
-            continue
-        if node.path:
-            styles.setdefault(node.path, set()).add(">".join(k for i, k in enumerate(c.key for c in node.children) if not i or node.children[i - 1].key != k))
-            kinds.setdefault(node.path, set()).update(c.key for c in node.children)
-            if own := own_blocks(node):
-                texts = {_hash(x) for x in own}
-                path = node.path
-                while path:
-                    h = _hash(path)
-                    found.update((h, CONTENT, x, 0) for x in texts)
-                    path = path.rpartition("/")[0]
-    found.update((_hash(p), STYLE, _hash("|".join(sorted(s))), min(6, len(kinds[p]))) for p, s in styles.items())
-    return found
-
-
-def extract(page: str, low: frozenset[int]) -> str:
+def extract(page: str, low: frozenset[int] | set[int]) -> str:
     """The blocks of the page's article, or of all the page if it has none, without low branches, joined by a space."""
     root = parse(page)
 
     def gone(node: Node) -> bool:
-        return node.never or (bool(low) and node.tag not in KEPT and not node.plain and _hash(node.path) in low)
+        return node.never or (bool(low) and node.tag not in KEPT and _signed(node.path) in low)
 
     tops, stack = [], [root]
     while stack:
         top = stack.pop()
-        if top.tag in ("article", "main") and not any(n.tag == "article" and not gone(n) for n in walk(top) if n is not top and top.tag == "main"):
+        if top.tag == "article" or top.tag == "main" and not any(n.tag == "article" and not gone(n) for n in walk(top)[1:]):
             tops.append(top)
             continue
-        stack.extend(c for c in reversed(top.children) if not gone(c))
+        stack.extend(x for x in reversed(top.texts) if isinstance(x, Node) and not gone(x))
     blocks: list[str] = []
     for top in tops or [root]:
         parts: list[str] = []
@@ -234,57 +286,74 @@ def extract(page: str, low: frozenset[int]) -> str:
     return " ".join(blocks)
 
 
-def low_paths(pages: DataFrame, threshold: float, min_pages: int) -> DataFrame:
-    """host and low, the hashes of its style tree's paths below the threshold. pages: host, html."""
+NODES = "host string, unit long, path long, parent long, style long, content long"
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                seen.update((host, *x) for x in page_counts(page or ""))
-            if seen:
-                host, path, kind, value, kids = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_pydict({
-                    "host": pa.array(host, pa.string()), "path": pa.array(path, pa.int64()), "kind": pa.array(kind, pa.int32()), "value": pa.array(value, pa.int64()), "kids": pa.array(kids, pa.int32()), "n": pa.array(seen.values(), pa.int64())
-                })
 
-    ws = Workspace(pages.sparkSession, "site-tree")
-    parts = pages.select("host", "html").mapInArrow(counts, "host string, path long, kind int, value long, kids int, n long")
-    seen = ws.save(parts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"), F.max("kids").alias("kids")), "counts")
-
-    def importance(df: DataFrame, *keys: str) -> DataFrame:
-        style, n = F.col("kind") == STYLE, F.col("n")
-        sums = df.groupBy(*keys).agg(
-            F.sum(F.when(style, n)).alias("m"), F.sum(F.when(style, n * F.log(n))).alias("nln"), F.max("kids").alias("kids"),
-            F.sum(F.when(~style, F.log(n))).alias("lnk"), F.count_if(~style).alias("texts"),
-        )
-        top = F.log("m")
-        presentation = F.when(F.col("m") <= 1, 1.0).otherwise((top - F.col("nln") / F.col("m")) / top)
-        content = F.when((F.col("m") <= 1) | (F.col("texts") == 0), F.when(F.col("m") <= 1, 1.0).otherwise(0.0)).otherwise(1 - F.col("lnk") / F.col("texts") / top)
-        g = F.pow(F.lit(0.9), F.col("kids"))
-        return sums.select(*keys, "m", ((1 - g) * presentation + g * content).alias("importance"))
-
-    own = importance(seen, "host", "path")
-    everywhere = seen.groupBy("path", "kind", "value").agg(F.sum("n").alias("n"), F.max("kids").alias("kids"))
-    whole = importance(everywhere, "path").select("path", F.col("m").alias("all_m"), F.col("importance").alias("all_importance"))
-    judged = own.join(whole, "path")
-    low = F.when(F.col("m") >= min_pages, F.col("importance") < threshold).otherwise((F.col("all_m") >= min_pages) & (F.col("all_importance") < threshold))
-    return ws.save(judged.filter(low).groupBy("host").agg(F.collect_list("path").alias("low")), "low")
-
-
-def main_text(pages: DataFrame, threshold: float = 0.3, min_pages: int = 8, url: str = "url", page: str = "html", key: str = "page_id") -> DataFrame:
-    """key, url and text of each row of pages."""
-    host = F.lower(F.regexp_extract(pages[url], r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    rows = pages.select(pages[key].alias("k"), pages[url].alias("u"), host.alias("host"), pages[page].alias("html"))
-    known = same(rows, low_paths(rows, threshold, min_pages), ["host"], "left")
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen = dict.fromkeys((host, *x) for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) for x in page_nodes(page or ""))
+        if seen:
+            host, *rest = zip(*seen, strict=True)
+            names = [x.split()[0] for x in NODES.split(", ")]
+            yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string())} | {n: pa.array(x, pa.int64()) for n, x in zip(names[1:], rest, strict=True)})
+
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = [frozenset(x or ()) for x in b.column("low").to_pylist()]
-            out = [extract(x or "", y) for x, y in zip(b.column("html").to_pylist(), low, strict=True)]
-            yield pa.RecordBatch.from_pydict({"k": b.column("k"), "u": b.column("u"), "text": pa.array(out, pa.string())})
+def importances(pages: DataFrame, ws: Workspace) -> DataFrame:
+    """host, path, parent and importance of each node of the hosts' style trees. pages: host, html."""
+    shown = ws.save(pages.select("host", "html").mapInArrow(_nodes, NODES).distinct(), "shown")
+    each = shown.select("host", "path", "parent", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
+    counts = each.groupBy("host", "path", "parent", "x.kind", "x.value").agg(F.count("*").alias("n"))
+    style, n = F.col("kind") == 0, F.col("n")
+    sums = counts.groupBy("host", "path", "parent").agg(
+        F.sum(F.when(style, n)).alias("m"), F.count_if(style).alias("styles"), F.sum(F.when(style, n * F.log(n))).alias("presentation"), F.sum(F.when(~style, n * F.log(n))).alias("content"),
+    )
+    pages_ = F.col("m") + PRIOR_PAGES
+    entropy = lambda x: 1 - F.col(x) / (pages_ * F.log(pages_))
+    g = F.pow(F.lit(0.9), F.col("styles"))
+    return sums.select("host", "path", "parent", ((1 - g) * entropy("presentation") + g * entropy("content")).alias("importance"))
 
-    return known.select("k", "u", "html", "low").mapInArrow(texts, "k long, u string, text string").select(F.col("k").alias(key), F.col("u").alias(url), "text")
+
+def low_nodes(pages: DataFrame, threshold: float, ws: Workspace) -> DataFrame:
+    """host and path of the nodes below the threshold, without those whose parent is below it."""
+    low = ws.save(importances(pages, ws).filter(F.col("importance") < threshold).select("host", "path", "parent"), "low")
+    return ws.save(same(low, low.select("host", F.col("path").alias("parent")), ["host", "parent"], "left_anti").select("host", "path"), "topmost")
+
+
+def main_text(pages: DataFrame, threshold: float = 0.3, url: str = "url", page: str = "html", key: str = "page_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """key, url and text of each row of pages."""
+    ws = Workspace(pages.sparkSession, "site-tree")
+    host = F.lower(F.regexp_extract(pages[url], r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    rows = pages.select(pages[key].cast("long").alias("k"), pages[url].alias("u"), host.alias("host"), pages[page].alias("html"))
+    low = low_nodes(rows, threshold, ws)
+
+    def texts(b: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        out = [extract(x or "", y or ()) for x, y in zip(b.column("html").to_pylist(), found, strict=True)]
+        return pa.RecordBatch.from_pydict({"k": b.column("k"), "u": b.column("u"), "text": pa.array(out, pa.string())})
+
+    if (low.agg(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 48)).first()[0] or 0) <= max_broadcast:
+        known: dict[str | None, set[int]] = {}
+        for r in low.collect():
+            known.setdefault(r["host"], set()).add(r["path"])
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+        done = rows.mapInArrow(per_batch(lambda b: texts(b, [shared.value.get(h) for h in b.column("host").to_pylist()])), "k long, u string, text string")
+    else:
+        listed = rows.withColumn("doc", F.xxhash64("html"))
+        hit = same(listed.mapInArrow(per_batch(_paths), "k long, host string, doc long, path long"), low, ["host", "path"], "left_semi")
+        own = hit.groupBy("k", "host", "doc").agg(F.collect_set("path").alias("low"))
+        both = same(listed, own, ["k", "host", "doc"], "left").select("k", "u", "html", "low")
+        done = both.mapInArrow(per_batch(lambda b: texts(b, [set(x or ()) for x in b.column("low").to_pylist()])), "k long, u string, text string")
+    return done.select(F.col("k").alias(key), F.col("u").alias(url), "text")
+
+
+def _paths(b: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each node of each page."""
+    at, found = [], []
+    for i, page in enumerate(b.column("html").to_pylist()):
+        own = {x[1] for x in page_nodes(page or "")}
+        at += [i] * len(own)
+        found += own
+    rows = pa.array(at, pa.int64())
+    return pa.RecordBatch.from_pydict({c: b.column(c).take(rows) for c in ("k", "host", "doc")} | {"path": pa.array(found, pa.int64())})
 
 
 def op7_site_tree(spark, sf_dir: str) -> DataFrame:
