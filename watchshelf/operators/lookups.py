@@ -12,11 +12,12 @@ def all_of(links: DataFrame, key: str, value: str, wanted: list[str]) -> DataFra
     return links.filter(F.col(value).isin(values)).groupBy(key).agg(F.count_distinct(value).alias("n")).filter(F.col("n") == len(values)).select(key)
 
 
-def in_given_order(df: DataFrame, key: str, ids: list) -> DataFrame:
-    """The rows with these keys in the order of the list (the first place of a repeated one); misses are dropped."""
+def in_given_order(df: DataFrame, key: str, ids: list, numbered: bool = False) -> DataFrame:
+    """The rows with these keys in the order of the list (the first place of a repeated one); misses are dropped. numbered: with the place in the list as position."""
     kind = df.schema[key].dataType.simpleString()
     wanted = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"{key} {kind}, position int")
-    return df.join(wanted, key).orderBy("position").drop("position")
+    found = df.join(F.broadcast(wanted), key).orderBy("position")
+    return found if numbered else found.drop("position")
 
 
 def ordered_lookup(links: DataFrame, df: DataFrame, on: str, key: str, position: str) -> DataFrame:

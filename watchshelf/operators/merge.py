@@ -12,14 +12,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the largest by its other columns from the left; combined before the shuffle, and the join on the keys needs no other."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.select(*keys).distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = (), partial: bool = False) -> DataFrame:
     """base with changes put in by key: new keys are added, known ones take the changes' columns, nulls included.
 
     keep: columns that keep the base's value where there is one (created_at). partial: null means unchanged.
-    Columns that changes lacks stay. Changes must hold a key once; take operators.paging.latest first.
+    Columns that changes lacks stay. Of changes that share a key the largest row counts, columns compared from the left.
     """
     supplied = [c for c in changes.columns if c not in keys]
-    new = changes.withColumnsRenamed({c: f"__{c}" for c in supplied}).withColumn("__new", F.lit(True))
+    new = one_each(changes, keys).withColumnsRenamed({c: f"__{c}" for c in supplied}).withColumn("__new", F.lit(True))
     joined = base.withColumn("__old", F.lit(True)).join(new, keys, "full")
 
     def merged(c: str) -> Column:
@@ -47,7 +55,11 @@ def delete_cascading(base: DataFrame, ids: DataFrame, key: str, children: dict[s
 
 
 def insert_absent(base: DataFrame, rows: DataFrame, keys: list[str], existing: str) -> tuple[DataFrame, DataFrame]:
-    """base with the rows whose keys it lacks, and for each row ADDED or ALREADY_COLLECTED with the existing value of a column."""
+    """base with the rows whose keys it lacks, and for each key of rows ADDED or ALREADY_COLLECTED with the existing value of a column.
+
+    Rows that share a new key are inserted once, the largest of them.
+    """
+    rows = one_each(rows, keys)
     known = base.select(*keys, F.col(existing).alias("existing"), F.lit(True).alias("__known"))
     report = rows.select(*keys).join(known, keys, "left")
     outcome = F.when(F.col("__known"), "ALREADY_COLLECTED").otherwise("ADDED")
@@ -100,6 +112,20 @@ def replace_relations(base: DataFrame, fresh: DataFrame, subjects: DataFrame, in
     return rest.select("subject_id", "related_subject_id", "relation").unionByName(one)
 
 
+def opened(jobs: DataFrame, starts: DataFrame, now: Column) -> DataFrame:
+    """jobs with a RUNNING record for each of starts (id, mode, season_key)."""
+    fresh = starts.select("id", "mode", "season_key", now.alias("started_at"), F.lit("RUNNING").alias("status"), now.alias("created_at"))
+    return jobs.unionByName(fresh, allowMissingColumns=True).select(*jobs.columns)
+
+
+def closed(jobs: DataFrame, ends: DataFrame, now: Column) -> DataFrame:
+    """jobs in which those of ends (id, status, subject_count, error_message) are completed: null status is COMPLETED; ids without a job are ignored."""
+    done = ends.select("id", F.coalesce("status", F.lit("COMPLETED")).alias("__status"), F.col("subject_count").alias("__count"), F.col("error_message").alias("__error"), F.lit(True).alias("__done"))
+    joined = jobs.join(one_each(done, ["id"]), "id", "left")
+    changed = {"completed_at": now, "status": F.col("__status"), "subject_count": F.col("__count"), "error_message": F.col("__error")}
+    return joined.select(*[F.when(F.col("__done"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns])
+
+
 def swept(jobs: DataFrame, alive: DataFrame, as_of_column: Column, message: str = "process is gone") -> DataFrame:
     """Jobs that are RUNNING although no process of theirs (alive.id) is, marked FAILED."""
     living = alive.select("id", F.lit(True).alias("__alive"))

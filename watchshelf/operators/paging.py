@@ -24,6 +24,26 @@ def page(df: DataFrame, keys: list[Column], number: int = 1, size: int = 20, cap
     return df.orderBy(*keys).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None = None, size: int = 20, cap: int = PAGE_CAP) -> DataFrame:
+    """The page that follows the row with those values of the keys (name, ascending), the first if None.
+
+    Unlike an offset it skips nothing: the condition reaches the scan, and however deep the page only its own rows are kept.
+    Keys aren't null; the last is unique.
+    """
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for (name, ascending), value in zip(keys, after, strict=True):
+            beyond = beyond | (equal & (F.col(name) > value if ascending else F.col(name) < value))
+            equal = equal & (F.col(name) == value)
+        df = df.filter(beyond)
+    return df.orderBy(*[F.col(n).asc() if up else F.col(n).desc() for n, up in keys]).limit(clamp(size, 1, cap))
+
+
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """A page's rows with their number in its order, from 1."""
+    return df.coalesce(1).withColumn(name, F.monotonically_increasing_id() + 1)
+
+
 def total(df: DataFrame) -> DataFrame:
     """The number of rows before paging, as one row."""
     return df.agg(F.count("*").alias("total"))

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import elapsed_ms, masked_json
 from ..operators.aggregates import log_statistics
 from ..operators.filters import equal, log_conditions, where
 from ..operators.paging import page
@@ -25,6 +26,20 @@ def log_stats(log: DataFrame, **filters) -> DataFrame:
     return log_statistics(where(log, log_conditions(**filters)))
 
 
+def audit_rows(calls: DataFrame) -> DataFrame:
+    """Log rows for finished calls (action, module, args, error, started_at, ended_at, user_id, method, path, ip, user_agent).
+
+    args is an array of JSON objects: their secrets are masked, and the user's name is the first username or e-mail address
+    in them. A call without error has status 0, else 1.
+    """
+    named = F.transform("args", lambda a: F.coalesce(F.nullif(F.trim(F.get_json_object(a, "$.username")), F.lit("")), F.nullif(F.trim(F.get_json_object(a, "$.email")), F.lit(""))))
+    return calls.select(
+        "user_id", F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0)).alias("username"), "action", "module", "method", "path",
+        masked_json(F.concat(F.lit("["), F.array_join("args", ","), F.lit("]"))).alias("params"), "ip", "user_agent", F.when(F.col("error").isNull(), 0).otherwise(1).alias("status"),
+        F.col("error").alias("error_msg"), elapsed_ms(F.col("started_at"), F.col("ended_at")).alias("duration_ms"), F.col("ended_at").alias("created_at"),
+    )
+
+
 def users(user: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     """A page of accounts, newest first, by an explicit list of columns, so that a password never gets through."""
     return page(user.select(*[c for c in USER_COLUMNS if c in user.columns]), [F.col("created_at").desc(), F.col("id").desc()], number, size)
@@ -73,8 +88,6 @@ def replies(deltas: DataFrame, key: str = "request_id", position: str = "seq") -
 
 def request_metrics(events: DataFrame, key: str = "request_id", time: str = "ts", kind: str = "event_type", token: str = "token") -> DataFrame:
     """Milliseconds to the first token and in all, for each request."""
-    from ..functions.values import elapsed_ms
-
     spans = events.groupBy(key).agg(F.min(time).alias("start"), F.min(F.when(F.col(kind) == token, F.col(time))).alias("token"), F.max(time).alias("end"))
     return spans.select(key, elapsed_ms(F.col("start"), F.col("token")).alias("first_token_ms"), elapsed_ms(F.col("start"), F.col("end")).alias("duration_ms"))
 

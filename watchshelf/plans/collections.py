@@ -86,5 +86,5 @@ def wishlist_plan(ids: DataFrame, collection: DataFrame, user_id: int, cap: int
     from ..operators.paging import first_seen
 
     asked = first_seen(ids.select("position", "subject_id"), "subject_id", "position").orderBy("position").limit(cap)
-    own = collection.filter(F.col("user_id") == user_id).select("subject_id", F.lit("skipped").alias("state"))
+    own = collection.filter(F.col("user_id") == user_id).select("subject_id", F.lit("skipped").alias("state")).distinct()
     return asked.join(own, "subject_id", "left").fillna("pending", subset=["state"]).orderBy("position")

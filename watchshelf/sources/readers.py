@@ -26,13 +26,21 @@ def landed(spark: SparkSession, path: str, feed: str) -> DataFrame:
 
 def landed_browse(spark: SparkSession, path: str) -> DataFrame:
     """A row for each item of landed browse pages, with the year and month that the folders are partitioned by, if any."""
-    return landed(spark, path, "browse").select(F.explode("data").alias("item")).select(F.col("item.id").alias("bangumi_id"), F.col("item.date").alias("date"))
+    pages = landed(spark, path, "browse")
+    by = [c for c in ("year", "month") if c in pages.columns]
+    return pages.select(*by, F.explode("data").alias("item")).select(F.col("item.id").alias("bangumi_id"), F.col("item.date").alias("date"), *by)
+
+
+def landed_search(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each item of landed search results, with the number that matched in all."""
+    return landed(spark, path, "search").select("total", F.explode("data").alias("item")).select(F.col("item.id").alias("bangumi_id"), "item.name", "item.name_cn", "item.date", "total")
 
 
 def landed_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """The ids of the weekly calendar, in order of day and place."""
-    days = landed(spark, path, "calendar").withColumn("day", F.monotonically_increasing_id())
-    return days.select("day", F.posexplode("items").alias("place", "item")).select("day", "place", F.col("item.id").alias("bangumi_id"))
+    """day, place and id of the weekly calendar: one JSON array for each file, whose order is that of the days."""
+    weeks = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{FEEDS['calendar'].replace(' ', ':', 1)}>>").alias("days"))
+    days = weeks.select(F.posexplode("days").alias("day", "items"))
+    return days.select("day", F.posexplode("items.items").alias("place", "item")).select("day", "place", F.col("item.id").alias("bangumi_id"))
 
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -24,5 +24,6 @@ FEEDS: dict[str, str] = {
     "episode": "id int, type int, sort decimal(5,1), name string, name_cn string, duration string, airdate string, desc string",
     "relation": "id int, type int, relation string",
     "browse": "data array<struct<id:int,date:string>>, total int",
+    "search": "data array<struct<id:int,name:string,name_cn:string,date:string>>, total int",
     "calendar": "items array<struct<id:int>>",
 }
