@@ -155,7 +155,9 @@ def brute_suffix(docs, length=50):
     return out
 
 
-def test_suffix_dedup_by_brute_force(spark):
+@pytest.fixture(scope="module")
+def repetitive():
+    """Texts of few letters with shared passages, some between differing surroundings, in a random order of keys; and what brute force makes of them."""
     rng = random.Random(3)
     shared = ["".join(rng.choice("ab c") for _ in range(rng.choice([49, 50, 51, 80, 400]))) for _ in range(12)]
     texts = ["", None, "x" * 49, "x" * 50, "x" * 300, "é" * 60, "x" * 51]
@@ -163,13 +165,52 @@ def test_suffix_dedup_by_brute_force(spark):
         parts = [rng.choice(shared) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(0, 6))]
         texts.append("".join(parts))
     texts += [texts[20], texts[20] + "tail"]
+    texts += [f"{rng.random()} {shared[-1][:60]} {rng.random()}" for _ in range(40)]
     order = list(range(len(texts)))
     rng.shuffle(order)
-    df = spark.createDataFrame([(k, x) for k, x in zip(order, texts, strict=True)], "doc_id long, text string")
-    expected = brute_suffix([(k, (x or "").encode()) for k, x in zip(order, texts, strict=True)])
-    for batches in (1, 3, 4):
-        found = suffix_dedup.suffix_dedup(df, batches=batches, slot_bytes=700).collect()
-        assert {r.k: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found} == expected
+    rows = list(zip(order, texts, strict=True))
+    return rows, brute_suffix([(k, (x or "").encode()) for k, x in rows])
+
+
+def suffix_results(spark, rows, **options):
+    found = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), slot_bytes=700, **options).collect()
+    return {r.k: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found}
+
+
+@pytest.mark.parametrize(("batches", "hot"), [(1, 1000), (4, 3), (3, 1)])
+def test_suffix_dedup_by_brute_force(spark, repetitive, batches, hot):
+    rows, expected = repetitive
+    assert suffix_results(spark, rows, batches=batches, hot=hot) == expected
+
+
+def test_sixteen_batches_merge_as_a_binary_counter_does(spark, repetitive, monkeypatch):
+    rows, expected = repetitive
+    seen, add = [], suffix_dedup.SuffixIndex.add
+
+    def watched(self, arrays, more=True):
+        out = add(self, arrays, more)
+        seen.append(sorted(self.levels))
+        return out
+
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "add", watched)
+    assert suffix_results(spark, rows, batches=16) == expected
+    assert seen[:15] == [[i for i in range(4) if n >> i & 1] for n in range(1, 16)]
+
+
+def test_colliding_hashes_are_settled_by_the_bytes(spark, repetitive, monkeypatch):
+    rows, expected = repetitive
+    hashed = suffix_dedup._hashed
+    monkeypatch.setattr(suffix_dedup, "_hashed", lambda mixed, at, length, salt: hashed(mixed, at, length, salt) & np.uint64(3 if salt else 0xFFFFFFFFFFFFFFFF))
+    assert suffix_results(spark, rows, batches=2) == expected
+
+
+def test_arrays_are_in_byte_order():
+    texts = [("".join(random.Random(i).choice("abc") for _ in range(300))).encode() for i in range(4)]
+    runs = suffix_dedup.Runs(texts, 50, 3)
+    for _, own in runs.by_part():
+        entries = [x.astype(">u8").tobytes() for x in runs.keys[own]]
+        assert entries == sorted(set(entries)) and all(any(e in t for t in texts) for e in entries)
+        assert np.array_equal(suffix_dedup.unpacked_keys(suffix_dedup.packed_keys(runs.keys[own])), runs.keys[own])
 
 
 def test_suffix_dedup_of_the_documents(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words wherever a contract speaks of `[^\x20\x09-\x0D]+`.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
@@ -43,15 +44,6 @@ def drawn(keys: DataFrame, key: str, most: int) -> DataFrame:
     return keys.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key, F.lit("drawn")), key).limit(most)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, one beside its warehouse, or on one machine a temporary one."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        alone = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        folder = tempfile.mkdtemp(prefix="watchshelf-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_watchshelf"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
@@ -70,10 +62,11 @@ class Workspace:
         for made in _watchers:
             made.append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it again; its shuffle files go as soon as it is written."""
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes df, in a folder for each value of a column if given, and reads it again; its shuffle files go as soon as it is written."""
         with setting(self.spark, _CLEANUP, "true"):
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

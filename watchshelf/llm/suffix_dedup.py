@@ -2,24 +2,28 @@
 
 A string of `length` bytes has length - PREFIX + 1 suffixes that start in it with PREFIX bytes of their own; the one
 whose hash is lowest is sampled, so two equal strings sample the same suffix at the same place, and about a fourteenth
-of all suffixes are kept. Batches of documents (by doc_id) get sparse suffix arrays: the sampled suffixes, dealt into
-parts and sorted in each by the hash of their first PREFIX bytes, which puts equal beginnings together. The index is a
-logarithmic family: a new batch's array is merge-scanned against every level for beginnings that an earlier document
-has, then it merges with the levels of its own size, as in a binary counter, so n batches leave at most log2(n) levels.
-
-The hits are candidates. Around each the text of the strings that sample it is sent to the part of its beginning, once
-for each slot of documents; there all strings of `length` bytes are compared by 128 bits of hash, and the smallest doc_id
-that has a string decides for all others. Slots (about slot_bytes of text each) ask and are answered in the order of
-their own sorted arrays, so answers are a bit for each question. No step holds more than one slot or one part in memory,
-and a string that millions of documents share is one entry for each slot.
+of all suffixes are kept: no match is lost by that. Batches of documents (by doc_id) get sparse suffix arrays: the sampled
+suffixes in byte order of their first PREFIX bytes, dealt into parts by a hash of these. The index is a logarithmic family:
+a new batch's array is merge-scanned against every level for suffixes that share all PREFIX bytes with one of an earlier
+document, then it merges with the levels of its own size, as in a binary counter, so n batches leave at most log2(n) + 1 levels.
+
+The hits are candidates, and exact extension to both sides settles them. Around each, the text of the strings that sample it
+is sent to the part of its beginning, once for each slot of documents; there all strings of `length` bytes are grouped by
+a hash, compared byte by byte with the first of their group, and the smallest doc_id that has a string decides for all
+others. A beginning with many different surroundings (HOT or more, counted once in each slot) would pile up in one part,
+so its strings are cut into single ones, and each goes to the part of its own hash. Slots (about slot_bytes of text each) ask
+and are answered in the order of their own sorted arrays, so answers are a bit for each question. No step holds more than one
+slot or one part in memory, and a string that millions of documents share is one entry for each slot.
 
 Defined results: null text is empty; documents shorter than `length` lose nothing; rows with equal doc_id don't remove
-from each other; a null doc_id counts as larger than all others; empty tables give empty results.
+from each other; a null doc_id counts as larger than all others; repeated rows each get the same result; a very long text is
+one slot's, scanned in overlapping pieces; empty tables give empty results. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +36,8 @@ from .common import Workspace, table
 
 PREFIX = 24
 SLOT_BYTES, PART_BYTES, CHUNK = 5_000_000, 3_000_000, 1_000_000
+#: From so many different surroundings on a beginning's strings are dealt one by one.
+HOT = 1000
 LAST = (1 << 63) - 1
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -93,26 +99,73 @@ def _places(sizes: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(step, dtype=np.int8))
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rows of three numbers as PREFIX bytes each, most significant first, compressed."""
+    return zlib.compress(keys.astype(">u8").tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), ">u8").astype(np.uint64).reshape(-1, 3)
+
+
+def in_order(keys: np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """The order of rows of keys, after that of other numbers that go first."""
+    return np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0], *first[::-1]))
+
+
+def shares_prefix(keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, whether each has all PREFIX bytes in common with the one before it."""
+    same = np.zeros(len(keys), bool)
+    same[1:] = (keys[1:] == keys[:-1]).all(1)
+    return same
+
+
+def distinct_keys(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = keys[in_order(keys)]
+    return keys[~shares_prefix(keys)]
+
+
+def found_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of keys is among the known ones (each once): one merged sequence in byte order, scanned for equal neighbours."""
+    both = np.concatenate([known, keys])
+    order = np.lexsort((np.arange(len(both)) >= len(known), both[:, 2], both[:, 1], both[:, 0]))
+    start = np.flatnonzero(~shares_prefix(both[order]))
+    of_known = order[start] < len(known)
+    out = np.zeros(len(both), bool)
+    out[order] = np.repeat(of_known, np.diff(np.append(start, len(order))))
+    return out[len(known) :]
+
+
+NONE = np.zeros((0, 3), np.uint64)
+
+
 class Runs:
-    """The sampled suffixes of some texts: each with its hash and the run of string starts that sample it."""
+    """The sampled suffixes of some texts in byte order within each part: each with its first bytes and the run of string starts that sample it."""
 
     def __init__(self, texts: list[bytes], length: int, parts: int):
-        found = [self._runs(c, length) for c in _chunks(texts, length)] or [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))]
-        self.key, self.text, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True))
-        part = ((self.key & LOW) % np.uint64(parts)).astype(np.int64)
-        self.order = np.lexsort((self.key, part))
-        key, part, text = self.key[self.order], part[self.order], self.text[self.order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        found = [self._runs(c, length) for c in _chunks(texts, length)] or [(np.zeros(0, np.uint64), NONE, np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
+        hashed, prefix, around, self.text, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True))
+        part = ((hashed & LOW) % np.uint64(parts)).astype(np.int64)
+        self.order = np.lexsort((around, prefix[:, 2], prefix[:, 1], prefix[:, 0], part))
+        prefix, around, part, text = prefix[self.order], around[self.order], part[self.order], self.text[self.order]
+        new = ~shares_prefix(prefix)
+        new[1:] |= part[1:] != part[:-1]
         starts = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1  # of each run in order
-        self.keys, self.parts = key[starts], part[starts]
+        self.keys, self.parts = prefix[starts], part[starts]
         self.shared = np.maximum.reduceat(text, starts) != np.minimum.reduceat(text, starts) if len(starts) else np.zeros(0, bool)
+        other = new.copy()
+        other[1:] |= around[1:] != around[:-1]
+        self.kinds = np.minimum(np.add.reduceat(other, starts, dtype=np.int64), 65_535) if len(starts) else np.zeros(0, np.int64)
 
     @staticmethod
     def _runs(chunk: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+        """Hash and first bytes of the sampled suffix, a hash of the text around it, the text, the first and the last start."""
         sizes = np.array([len(p) for *_, p in chunk])
-        key = _hashed(_mixed(b"".join(p for *_, p in chunk) + bytes(8 + PREFIX)), slice(None), PREFIX, 0)
+        data = b"".join(p for *_, p in chunk) + bytes(8 + PREFIX)
+        mixed = _mixed(data)
+        key = _hashed(mixed, slice(None), PREFIX, 0)
         lowest = _lowest(key & HIGH | np.arange(len(key), dtype=np.uint64), length - PREFIX + 1)
         place = _places(sizes, length)
         anchor = (lowest[place] & LOW).astype(np.int64)
@@ -123,7 +176,12 @@ class Runs:
         offsets = np.cumsum(sizes) - sizes
         piece = np.searchsorted(offsets, place[starts], side="right") - 1
         shift = np.array([at for _, at, _ in chunk]) - offsets
-        return key[anchor[starts]], np.array([i for i, *_ in chunk])[piece], place[starts] + shift[piece], place[ends] + shift[piece]
+        anchor, first, last = anchor[starts], place[starts], place[ends]
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        prefix = np.stack([words[anchor + i].byteswap() for i in range(0, PREFIX, 8)], 1)
+        # the first and the last string cover all that is around a suffix
+        around = _hashed(mixed, first, length, 1) * ODD[5] ^ _hashed(mixed, last, length, 2) + (last - first).astype(np.uint64) * ODD[6]
+        return key[anchor], prefix, around, np.array([i for i, *_ in chunk])[piece], first + shift[piece], last + shift[piece]
 
     def by_part(self) -> Iterator[tuple[int, slice]]:
         if not len(self.parts):  # all texts are shorter than `length`
@@ -149,26 +207,41 @@ def _sorted_texts(slot: pa.Table) -> tuple[list[int], list[bytes], list[int | No
 
 
 class Candidates:
-    """The distinct strings around the candidates of a slot, in the order in which they are sent."""
+    """The distinct strings around the candidates of a slot, in the order in which they are sent; marked: for each part the bits of its keys that hit, then of those that are hot."""
 
-    def __init__(self, keys: list[int], texts: list[bytes], runs: Runs, marked: dict[int, bytes], length: int):
-        hit = np.zeros(len(runs.keys), bool)
+    def __init__(self, keys: list[int], texts: list[bytes], runs: Runs, marked: dict[int, bytes], length: int, parts: int):
+        hit, hot = np.zeros(len(runs.keys), bool), np.zeros(len(runs.keys), bool)
         for part, own in runs.by_part():
             if part in marked:
-                hit[own] = _bits(marked[part], own.stop - own.start)
+                n = own.stop - own.start
+                bits = _bits(marked[part], 2 * n)
+                hit[own], hot[own] = bits[:n], bits[n:]
         chosen = np.flatnonzero(hit[runs.entry])
-        part_of = runs.parts[runs.entry[chosen]]
-        chosen, self.owners = runs.order[chosen], {}
-        by_run = np.lexsort((chosen, part_of))  # in each part by document, so that the smallest comes first
+        entry = runs.entry[chosen]
+        chosen = runs.order[chosen]
+        by_run = np.lexsort((chosen, runs.parts[entry]))  # in each part by document, so that the smallest comes first
+        owners: dict[bytes, int] = {}
         self.sent: dict[int, list[tuple[int, int, int, bytes]]] = {}
         self.settled: list[tuple[int, int, int]] = []
-        for run, part in zip(chosen[by_run].tolist(), part_of[by_run].tolist(), strict=True):
+
+        def add(i: int, first: int, last: int, piece: bytes, part: int) -> None:
+            if owners.setdefault(piece, keys[i]) < keys[i]:
+                self.settled.append((i, first, last))
+            else:
+                self.sent.setdefault(part, []).append((i, first, last, piece))
+
+        whole: dict[bytes, int] = {}
+        for run, part, alone in zip(chosen[by_run].tolist(), runs.parts[entry][by_run].tolist(), hot[entry][by_run].tolist(), strict=True):
             i, first, last = int(runs.text[run]), int(runs.first[run]), int(runs.last[run])
             piece = texts[i][first : last + length]
-            if (owner := self.owners.setdefault(piece, keys[i])) < keys[i]:
+            if not alone:
+                add(i, first, last, piece, part)
+            elif whole.setdefault(piece, keys[i]) < keys[i]:
                 self.settled.append((i, first, last))
             else:
-                self.sent.setdefault(part, []).append((i, first, last, piece))
+                for at in range(first, last + 1):
+                    one = texts[i][at : at + length]
+                    add(i, at, at, one, zlib.crc32(one) % parts)
 
 
 def _message(**columns) -> pa.Table:
@@ -176,11 +249,30 @@ def _message(**columns) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.string() if k == "kind" else pa.binary())) for k, v in columns.items()})
 
 
+def confirm(data: np.ndarray, at: np.ndarray, starts: np.ndarray, group: np.ndarray, owner: np.ndarray, later: np.ndarray, order: np.ndarray, length: int) -> None:
+    """Compares the strings of each group byte by byte with its first; where hashes collided, decides anew by the bytes. All but later are in the order of groups."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else np.zeros((0, length), np.uint8)
+    rest = np.setdiff1d(np.arange(len(at)), starts, assume_unique=True)
+    broken: set[int] = set()
+    for k in range(0, len(rest), 100_000):
+        some = rest[k : k + 100_000]
+        equal = (windows[at[some]] == windows[at[starts[group[some]]]]).all(1)
+        broken.update(group[some[~equal]].tolist())
+    for g in broken:
+        members = np.flatnonzero(group == g)
+        least: dict[bytes, int] = {}
+        for i in members:
+            own = windows[at[i]].tobytes()
+            least[own] = min(int(owner[i]), least.get(own, int(owner[i])))
+        for i in members:
+            later[order[i]] = least[windows[at[i]].tobytes()] < owner[i]
+
+
 class SuffixIndex:
     """A family of levels; add() takes a batch's arrays (slot, part, keys, shared) and returns the beginnings that hit."""
 
     def __init__(self, ws: Workspace):
-        self.ws, self.levels, self.batches = ws, {}, 0
+        self.ws, self.levels, self.names, self.batches = ws, {}, {}, 0
 
     def add(self, arrays: DataFrame, more: bool = True) -> DataFrame:
         """part, keys: beginnings in this batch that two of its documents or an earlier document have. more: the batch joins the index."""
@@ -194,30 +286,36 @@ class SuffixIndex:
 
         def scan(group: pa.Table) -> pa.Table:
             level, keys, shared = (group.column(c).to_pylist() for c in ("level", "keys", "shared"))
-            arrays = [np.frombuffer(k, np.uint64) for k in keys]
-            new = np.sort(np.concatenate([np.zeros(0, np.uint64), *(a for n, a in zip(level, arrays, strict=True) if n == 0)]))
-            twice = [new[1:][new[1:] == new[:-1]], *(a[_bits(s, len(a))] for n, a, s in zip(level, arrays, shared, strict=True) if n == 0)]
+            arrays = [unpacked_keys(k) for k in keys]
+            batch = np.concatenate([NONE, *(a for n, a in zip(level, arrays, strict=True) if n == 0)])
+            inside = np.concatenate([np.zeros(0, bool), *(_bits(s, len(a)) for n, a, s in zip(level, arrays, shared, strict=True) if n == 0)])
+            order = in_order(batch)
+            batch, inside = batch[order], inside[order]
+            again = shares_prefix(batch)
+            new, hits = batch[~again], [batch[again], batch[inside]]
             merged = [new]
             for n, old in zip(level, arrays, strict=True):
                 if n and len(old):
-                    at = np.minimum(np.searchsorted(old, new), len(old) - 1)
-                    twice.append(new[old[at] == new])
+                    hits.append(new[found_in(new, old)])
                     if n == 1:
                         merged.append(old)
             part = group.column("part")[0].as_py()
-            out = [("hits", np.unique(np.concatenate(twice)))] + ([("level", np.unique(np.concatenate(merged)))] if more else [])
-            return _message(kind=[k for k, _ in out], part=[part] * len(out), keys=[x.tobytes() for _, x in out])
+            out = [("hits", distinct_keys(np.concatenate(hits)))] + ([("level", distinct_keys(np.concatenate(merged)))] if more else [])
+            return _message(kind=[k for k, _ in out], part=[part] * len(out), keys=[packed_keys(x) for _, x in out])
 
-        step = self.ws.save(rows.groupBy("part").applyInArrow(scan, "kind string, part long, keys binary"), f"step{self.batches}")
+        name = f"step{self.batches}"
+        step = self.ws.save(rows.groupBy("part").applyInArrow(scan, "kind string, part long, keys binary"), name, by="kind")
         if more:
             for size in absorbed:
                 del self.levels[size]
+                self.ws.drop(f"{self.names.pop(size)}/kind=level")
             self.levels[len(absorbed)] = step.filter("kind = 'level'").select("part", "keys")
+            self.names[len(absorbed)] = name
         self.batches += 1
         return step.filter("kind = 'hits'").select("part", "keys")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 4, slot_bytes: int = SLOT_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes: int = SLOT_BYTES, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
     """k, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row of docs; length is PREFIX + 8 at least."""
     if length < PREFIX + 8:
         raise ValueError(f"length is {PREFIX + 8} at least")
@@ -236,50 +334,64 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 4, slot_bytes
     def arrays(slot: pa.Table) -> pa.Table:
         runs = Runs(_sorted_texts(slot)[1], length, parts)
         own = list(runs.by_part())
-        return _message(slot=[slot.column("slot")[0].as_py()] * len(own), part=[p for p, _ in own], keys=[runs.keys[s].tobytes() for _, s in own], shared=[_packed(runs.shared[s]) for _, s in own])
+        return _message(
+            slot=[slot.column("slot")[0].as_py()] * len(own), part=[p for p, _ in own], keys=[packed_keys(runs.keys[s]) for _, s in own], shared=[_packed(runs.shared[s]) for _, s in own],
+            kinds=[zlib.compress(runs.kinds[s].astype("<u2").tobytes(), 1) for _, s in own],
+        )
 
-    sampled = ws.save(rows.groupBy("slot").applyInArrow(arrays, "slot long, part long, keys binary, shared binary"), "arrays")
+    sampled = ws.save(rows.groupBy("slot").applyInArrow(arrays, "slot long, part long, keys binary, shared binary, kinds binary"), "arrays")
     index, hits = SuffixIndex(ws), []
     for i in range(batches):
         hits.append(index.add(sampled.filter((F.col("slot") >= i * each) & (F.col("slot") < (i + 1) * each)), more=i + 1 < batches))
     beginnings = reduce(DataFrame.unionAll, hits)
 
     def mark(asked: pa.Table, found: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist())]))
-        out = []
-        for keys in asked.column("keys").to_pylist():
-            own = np.frombuffer(keys, np.uint64)
-            out.append(_packed(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own) if len(known) else _packed(np.zeros(len(own), bool)))
-        return _message(slot=asked.column("slot").to_pylist(), part=asked.column("part").to_pylist(), bits=out)
-
-    marks = ws.save(sampled.select("slot", "part", "keys").groupBy("part").cogroup(beginnings.groupBy("part")).applyInArrow(mark, "slot long, part long, bits binary"), "marks")
+        known = distinct_keys(np.concatenate([NONE, *(unpacked_keys(x) for x in found.column("keys").to_pylist())]))
+        arrays = [unpacked_keys(x) for x in asked.column("keys").to_pylist()]
+        kinds = [np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64) for x in asked.column("kinds").to_pylist()]
+        every = np.concatenate([NONE, *arrays])
+        order = in_order(every)
+        start = np.flatnonzero(~shares_prefix(every[order]))
+        many = np.zeros(len(every), bool)
+        if len(every):
+            surroundings = np.add.reduceat(np.concatenate(kinds)[order], start)
+            many[order] = np.repeat(surroundings >= hot, np.diff(np.append(start, len(order))))
+        hits, cuts = found_in(every, known), np.cumsum([0, *(len(a) for a in arrays)])
+        bits = [_packed(np.concatenate([hits[a:b], many[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return _message(slot=asked.column("slot").to_pylist(), part=asked.column("part").to_pylist(), bits=bits)
+
+    marks = ws.save(sampled.select("slot", "part", "keys", "kinds").groupBy("part").cogroup(beginnings.groupBy("part")).applyInArrow(mark, "slot long, part long, bits binary"), "marks")
     ws.drop("arrays", *(f"step{i}" for i in range(batches)))
 
     def send(slot: pa.Table, marked: pa.Table) -> pa.Table:
         keys, texts, _ = _sorted_texts(slot)
-        found = Candidates(keys, texts, Runs(texts, length, parts), dict(zip(marked.column("part").to_pylist(), marked.column("bits").to_pylist(), strict=True)), length)
+        found = Candidates(keys, texts, Runs(texts, length, parts), dict(zip(marked.column("part").to_pylist(), marked.column("bits").to_pylist(), strict=True)), length, parts)
         rows = [(p, np.array([keys[i] for i, *_ in x], np.int64).tobytes(), np.array([len(s) for *_, s in x], np.int64).tobytes(), b"".join(s for *_, s in x)) for p, x in found.sent.items()]
         part, owner, sizes, strings = zip(*rows, strict=True) if rows else ((), (), (), ())
         return _message(slot=[slot.column("slot")[0].as_py() if slot.num_rows else None] * len(rows), part=part, owner=owner, sizes=sizes, strings=strings)
 
     def settle(part: pa.Table) -> pa.Table:
         part = part.sort_by("slot")
-        first, second, owner, counts = [], [], [], []
+        hashes, owner, counts, at, size_before = [], [], [], [], 0
         for own, sizes, strings in zip(*(part.column(c).to_pylist() for c in ("owner", "sizes", "strings")), strict=True):
             size = np.frombuffer(sizes, np.int64)
             place, mixed = _places(size, length), _mixed(strings + bytes(8))
-            first.append(_hashed(mixed, place, length, 1))
-            second.append(_hashed(mixed, place, length, 2))
+            hashes.append(_hashed(mixed, place, length, 1))
             owner.append(np.repeat(np.frombuffer(own, np.int64), size - length + 1))
             counts.append(len(place))
-        first, second, owner = (np.concatenate(x) for x in (first, second, owner))
-        order = np.argsort(first)
+            at.append(place + size_before)
+            size_before += len(strings)
+        hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+        order = np.argsort(hashes)
         new = np.ones(len(order), bool)
-        new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
         starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
         least = np.minimum.reduceat(owner[order], starts)
         later = np.empty(len(order), bool)
-        later[order] = np.repeat(least, np.diff(np.append(starts, len(order)))) < owner[order]
+        later[order] = least[group] < owner[order]
+        whole = np.frombuffer(b"".join(part.column("strings").to_pylist()), np.uint8)
+        confirm(whole, np.concatenate(at)[order], starts, group, owner[order], later, order, length)
         cuts = np.cumsum([0, *counts])
         return _message(slot=part.column("slot").to_pylist(), part=part.column("part").to_pylist(), bits=[_packed(later[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
@@ -292,7 +404,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 4, slot_bytes
         marked, answered = {}, {}
         for part, bits, kind in zip(*(said.column(c).to_pylist() for c in ("part", "bits", "kind")), strict=True):
             (marked if kind == "marks" else answered)[part] = bits
-        found = Candidates(keys, texts, Runs(texts, length, parts), marked, length)
+        found = Candidates(keys, texts, Runs(texts, length, parts), marked, length, parts)
         size = np.array([len(t) for t in texts], np.int64)
         offset = np.cumsum(size) - size
         gone = np.zeros(int(size.sum()) + 1, bool)  # of string starts
