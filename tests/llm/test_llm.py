@@ -109,7 +109,7 @@ def test_simhash_by_brute_force(spark, edge_dir, edge):
     assert found == {k: (f"{prints[k]:016x}", roots[k]) for k in docs}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [1024, 16, 3])
 def test_covering_tables_miss_no_link(spark, block):
     rng = random.Random(7)
     prints = {rng.getrandbits(64) for _ in range(150)}
@@ -129,8 +129,9 @@ def test_covering_tables_miss_no_link(spark, block):
     assert {i: found.get(i, i) for i in expected} == expected
 
 
-def test_every_pair_within_the_radius_shares_a_table():
-    masks = simhash.masks(3)
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_every_pair_within_the_radius_shares_a_table(level):
+    masks = simhash.masks(3, level)
     rng = random.Random(1)
     for _ in range(3000):
         flips = sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3)))
@@ -138,6 +139,11 @@ def test_every_pair_within_the_radius_shares_a_table():
         assert any(flips & m == 0 for m in masks)
 
 
+def test_levels_of_tables_leave_few_free_positions():
+    free = [64 - ((a | b | c) & ((1 << 64) - 1)).bit_count() for a, b, c in itertools.product(*(simhash.masks(3, level) for level in range(3)))]
+    assert max(free) <= 16, max(free)
+
+
 def brute_suffix(docs, length=50):
     least = {}
     for k, x in docs:

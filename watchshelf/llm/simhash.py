@@ -6,18 +6,24 @@ vector has an odd product with v. Any r positions leave some v orthogonal to all
 that differ in at most r bits agree on all that table's positions: every pair within the radius collides in one of
 the 2^(r+1) - 1 tables, none is left to chance.
 
-Equal fingerprints are one node, so exact copies never multiply. Buckets of distinct fingerprints are compared in
-blocks: a bucket of more than `block` is dealt into pairs of blocks that go to separate tasks, and each returns a
-spanning forest of the links it finds (fewer links than members), which has the same components as all links.
+Equal fingerprints are one node, so exact copies never multiply. A bucket of up to `block` distinct fingerprints is
+compared in one task. A larger one is split by the same construction with other vectors: its members agree on the
+table's positions, so pairs within the radius differ at no more than r of the others, and some table of the next level
+keeps none of these. Each level halves the positions that are still free, so after LEVELS of them a bucket can't have
+more than some tens of thousands of distinct members; what is left above `block` then is dealt as pairs of blocks to
+separate tasks. All return a spanning forest of the links they find (fewer links than members), which has the same
+components as all links.
 
 Defined results: null and wordless texts have fingerprint 0 and link like any other; rows without a doc_id take part
 through their fingerprint and get the component of the rows that have one (null if none has); repeated rows are kept;
-an empty table gives an empty result.
+a very long text is one row of work, in proportion to its words; an empty table gives an empty result. Columns other
+than key and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,8 @@ from .common import Workspace, per_batch, same, table
 from .components import components
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
+#: How often large buckets are split, the first tables included.
+LEVELS = 3
 
 
 def fingerprint(data: bytes, size: int = 3) -> int:
@@ -58,10 +66,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return rows.mapInArrow(per_batch(_prints), "k long, t long, fp long")
 
 
-def masks(radius: int) -> list[int]:
-    """The positions of each table, as signed longs."""
+def masks(radius: int, level: int = 0) -> list[int]:
+    """The positions of each table, as signed longs; each level deals other vectors to the positions."""
     count = (1 << (radius + 1)) - 1
-    unsigned = [sum(1 << i for i in range(BITS) if ((i % count + 1) & v).bit_count() % 2) for v in range(1, count + 1)]
+    vector = [(i * (1, 11, 23)[level] % 67) % count + 1 for i in range(BITS)]
+    unsigned = [sum(1 << i for i in range(BITS) if (vector[i] & v).bit_count() % 2) for v in range(1, count + 1)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in unsigned]
 
 
@@ -111,12 +120,22 @@ def _link_runs(radius: int):
 
 def near_links(prints: DataFrame, ws: Workspace, radius: int = 3, block: int = 1024) -> DataFrame:
     """a, b: links between the nodes of distinct fingerprints (fp, node), complete as to what they connect."""
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(radius))])
-    rows = prints.select("fp", "node", F.explode(tables).alias("t")).select("fp", "node", F.xxhash64("t.i", "t.key").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node")
+    rows, dealt = prints.select("fp", "node", F.lit(0).cast("long").alias("held"), F.lit("").alias("way")), []
+    for level in range(LEVELS):
+        tables = F.array(*[F.struct(F.lit(f"{i} ").alias("i"), F.col("held").bitwiseOR(F.lit(m)).alias("held")) for i, m in enumerate(masks(radius, level))])
+        each = rows.select("fp", "node", "way", F.explode(tables).alias("t")).select("fp", "node", F.concat("way", "t.i").alias("way"), "t.held")
+        rows = each.withColumn("bucket", F.xxhash64("way", F.col("fp").bitwiseAND(F.col("held"))))
+        sizes = ws.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes{level}")
+        last = level + 1 == LEVELS
+        own = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
+        blocks = sizes.filter(F.lit(last) | (F.col("n") <= block)).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        both = rows.join(blocks, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt.append(both.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "node"))
+        large = sizes.filter(F.col("n") > block)
+        if last or large.isEmpty():
+            break
+        rows = ws.save(rows.join(large.select("bucket"), "bucket").select("fp", "node", "held", "way"), f"large{level}")
+    pairs = dealt[0] if len(dealt) == 1 else reduce(DataFrame.unionAll, dealt)
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = pairs.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "fp")
     return sorted_rows.mapInArrow(_link_runs(radius), "a long, b long")
