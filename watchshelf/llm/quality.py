@@ -4,8 +4,8 @@ Trusted positives (label 1) and unlabelled web texts train a logistic model on c
 words and word pairs: the non-negative unbiased risk, prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)), is minimised
 by gradient steps; when the second part falls below zero, its gradient is followed backwards until it no longer does.
 
-The class prior is estimated without any negative label. A first model, fitted on one half of both samples to tell
-positives from unlabelled texts, scores the other half; among the most certain scores nearly all unlabelled texts are
+The class prior is estimated without any negative label. Two first models, each fitted on one half of both samples to tell
+positives from unlabelled texts, score the other halves; among the most certain scores nearly all unlabelled texts are
 positive, so the least ratio of the two shares above a score (with its sampling error added) bounds the prior from above.
 
 The fit uses at most max_labelled positives and max_unlabelled unlabelled documents, drawn by a hash of their key
@@ -90,8 +90,11 @@ def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[flo
     return positive, negative, -prior * (sigmoid(-gp) @ p) / len(p), (sigmoid(gu) @ u) / len(u) - prior * (sigmoid(gp) @ p) / len(p)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the bias: minimises the non-negative risk over standardised features, folded back to the features as they are."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2.0) -> np.ndarray:
+    """Weights and, last, the bias: minimises the non-negative risk over standardised features, folded back to the features as they are.
+
+    Weights decay by `decay` divided by the number of rows, as under a prior of fixed width, so small samples don't overfit.
+    """
     both = np.concatenate([positive, unlabelled])
     mean, spread = both.mean(0), both.std(0) + 0.02
     p, u = (np.hstack([(x - mean) / spread, np.ones((len(x), 1), np.float32)]).astype(np.float32) for x in (positive, unlabelled))
@@ -99,7 +102,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     bias = np.arange(len(w)) == len(w) - 1
     for k in range(1, steps + 1):
         _, negative, up, down = risk(w.astype(np.float32), p, u, prior)
-        grad = np.where(bias, 0, decay * w) + (up + down if negative >= 0 else -down)
+        grad = np.where(bias, 0, decay / len(both) * w) + (up + down if negative >= 0 else -down)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
     scaled = w[:-1] / spread
@@ -110,8 +113,11 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among unlabelled rows, from features alone: the least ratio of the shares beyond a score, on rows that the scores weren't fitted on."""
     if min(len(positive), len(unlabelled)) < 4:
         return 0.5
-    model = fit(positive[::2], unlabelled[::2], 0.5, steps=150)
-    p, u = (np.sort(x[1::2] @ model[:-1] + model[-1]) for x in (positive, unlabelled))
+    halves = []
+    for h in (0, 1):
+        model = fit(positive[h::2], unlabelled[h::2], 0.5, steps=150)
+        halves.append([x[1 - h :: 2] @ model[:-1] + model[-1] for x in (positive, unlabelled)])
+    p, u = (np.sort(np.concatenate(x)) for x in zip(*halves, strict=True))
     cuts = np.unique(p)
     above_p, above_u = ((len(x) - np.searchsorted(x, cuts)) / len(x) for x in (p, u))
     error = math.sqrt(math.log(4 / 0.1) / 2 / len(u)) + math.sqrt(math.log(4 / 0.1) / 2 / len(p))
