@@ -75,9 +75,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
         before = F.when(F.col("size") == n, skipped).otherwise(before)
         skipped = skipped + F.greatest(F.col("n") - (n - 1), F.lit(0))
     places = met.select("k", "t", F.struct((F.col("at") - before).alias("at"), "size", "h").alias("w")).groupBy("k", "t").agg(F.collect_set("w").alias("ws"))
-    read = same(own, places, ["k", "t"], "inner").withColumn("words", _words(F.col("text")))
-    parts = F.transform("ws", lambda w: F.struct(w["at"].alias("at"), w["size"].alias("size"), w["h"].alias("h"), F.slice("words", w["at"] + 1, w["size"]).alias("words")))
-    pairs = read.select("k", "t", parts.alias("parts")).dropDuplicates(["k", "t"]).select("k", "t", F.explode("parts").alias("p")).select("k", "t", "p.*")
+    read = same(own, places, ["k", "t"], "inner")
+    # the outer transform over one element splits the text once, not once for each hit
+    part = lambda words, w: F.struct(w["at"].alias("at"), w["size"].alias("size"), w["h"].alias("h"), F.slice(words, w["at"] + 1, w["size"]).alias("words"))
+    parts = F.flatten(F.transform(F.array(_words(F.col("text"))), lambda words: F.transform("ws", lambda w: part(words, w))))
+    pairs = read.select("k", "t", parts.alias("parts")).dropDuplicates(["k", "t"]).select("k", "t", F.explode_outer("parts").alias("p")).select("k", "t", "p.*")
     sure = pairs.join(F.broadcast(windows) if small else windows, ["size", "h", "words"])
     hits = sure.groupBy("k", "t").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
