@@ -148,7 +148,7 @@ def upserted_tags(t: Tables) -> DataFrame:
 @query("""SELECT id, mode, status, subject_count, error_message, CAST(started_at AS DATE) AS started, CAST(completed_at AS DATE) AS completed FROM (
       SELECT id, mode, CASE WHEN id % 2 = 0 THEN 'COMPLETED' WHEN id % 5 = 1 THEN 'FAILED' ELSE 'RUNNING' END AS status, CASE WHEN id % 2 = 0 OR id % 5 = 1 THEN 7 ELSE 0 END AS subject_count,
         CASE WHEN id % 5 = 1 AND id % 2 = 1 THEN 'broke' END AS error_message, DATE '2024-02-01' AS started_at, CASE WHEN id % 2 = 0 OR id % 5 = 1 THEN DATE '2024-02-02' END AS completed_at FROM import_record)""")
-def opened_and_closed_jobs(t: Tables) -> DataFrame:
+def job_records(t: Tables) -> DataFrame:
     """All import runs opened anew; the even ones completed, of the odd ones some failed."""
     none = t.spark.createDataFrame([], "id long, mode string, season_key string, started_at timestamp_ntz, completed_at timestamp_ntz, status string, subject_count int, error_message string, created_at timestamp_ntz")
     starts = t.import_record.select("id", "mode", F.lit(None).cast("string").alias("season_key"))
