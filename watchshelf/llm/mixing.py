@@ -75,9 +75,10 @@ def labelled_model(labelled: DataFrame, targets: dict[str, float], domain: str =
     if not (known := [d for d in domains if d in sizes]):
         # equal shares of the words leave the priors, which are the targets' shares
         return Model(domains, [_log(targets[d] / sum(targets.values())) for d in domains], [[0.0] for _ in domains], buckets, trained=False)
+    each = rows.select("domain", F.explode("words").alias("bucket")).filter("bucket IS NOT NULL").groupBy("domain", "bucket").count()
     counts: dict[str, dict[int, int]] = {d: {} for d in known}
-    for r in rows.select("domain", F.explode("words").alias("bucket")).filter("bucket IS NOT NULL").groupBy("domain", "bucket").count().collect():
-        counts[r["domain"]][r["bucket"]] = r["count"]
+    for r in each.groupBy("domain").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("count").alias("counts")).collect():
+        counts[r["domain"]] = dict(zip(r["buckets"], r["counts"], strict=True))
     under = {d: sum(counts[d].values()) + 0.5 * buckets for d in known}
     shares = [[_log((counts[d].get(b, 0) + 0.5) / under[d]) for b in range(buckets)] for d in known]
     return Model(known, [_log(sizes[d] / sum(sizes.values())) for d in known], shares, buckets)
