@@ -100,23 +100,33 @@ def _places(sizes: np.ndarray, length: int) -> np.ndarray:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Rows of three numbers as PREFIX bytes each, most significant first, compressed."""
-    return zlib.compress(keys.astype(">u8").tobytes(), 1)
+    """Rows of three numbers as PREFIX bytes each, most significant first, compressed; their number comes first."""
+    return len(keys).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(keys.astype(">u8").tobytes(), asbytes=True)
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), ">u8").astype(np.uint64).reshape(-1, 3)
+    whole = pa.Codec("zstd").decompress(data[8:], PREFIX * int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.frombuffer(whole, ">u8").astype(np.uint64).reshape(-1, 3)
 
 
-def in_order(keys: np.ndarray, *first: np.ndarray) -> np.ndarray:
-    """The order of rows of keys, after that of other numbers that go first."""
-    return np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0], *first[::-1]))
+def in_order(keys: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """The order of rows of keys: by one number (first, or their first eight bytes), then where that is equal by all bytes."""
+    lead = keys[:, 0] if first is None else first
+    order = np.argsort(lead)
+    sorted_lead = lead[order]
+    new = np.ones(len(order), bool)
+    new[1:] = sorted_lead[1:] != sorted_lead[:-1]
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    if len(tied):
+        group, rows = np.cumsum(new)[tied], keys[order[tied]]
+        order[tied] = order[tied[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0], group))]]
+    return order
 
 
 def shares_prefix(keys: np.ndarray) -> np.ndarray:
     """For sorted keys, whether each has all PREFIX bytes in common with the one before it."""
     same = np.zeros(len(keys), bool)
-    same[1:] = (keys[1:] == keys[:-1]).all(1)
+    same[1:] = (keys[1:, 0] == keys[:-1, 0]) & (keys[1:, 1] == keys[:-1, 1]) & (keys[1:, 2] == keys[:-1, 2])
     return same
 
 
@@ -127,13 +137,14 @@ def distinct_keys(keys: np.ndarray) -> np.ndarray:
 
 
 def found_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each of keys is among the known ones (each once): one merged sequence in byte order, scanned for equal neighbours."""
+    """Whether each of keys is among the known ones: one merged sequence in byte order, scanned for equal neighbours."""
     both = np.concatenate([known, keys])
-    order = np.lexsort((np.arange(len(both)) >= len(known), both[:, 2], both[:, 1], both[:, 0]))
-    start = np.flatnonzero(~shares_prefix(both[order]))
-    of_known = order[start] < len(known)
     out = np.zeros(len(both), bool)
-    out[order] = np.repeat(of_known, np.diff(np.append(start, len(order))))
+    if len(both):
+        order = in_order(both)
+        start = np.flatnonzero(~shares_prefix(both[order]))
+        of_known = np.logical_or.reduceat(order < len(known), start)
+        out[order] = np.repeat(of_known, np.diff(np.append(start, len(order))))
     return out[len(known) :]
 
 
@@ -143,24 +154,33 @@ NONE = np.zeros((0, 3), np.uint64)
 class Runs:
     """The sampled suffixes of some texts in byte order within each part: each with its first bytes and the run of string starts that sample it."""
 
-    def __init__(self, texts: list[bytes], length: int, parts: int):
-        found = [self._runs(c, length) for c in _chunks(texts, length)] or [(np.zeros(0, np.uint64), NONE, np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
+    def __init__(self, texts: list[bytes], length: int, parts: int, counted: bool = False):
+        """counted: also how many different surroundings each beginning has (kinds)."""
+        found = [self._runs(c, length, counted) for c in _chunks(texts, length)] or [(np.zeros(0, np.uint64), NONE, np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))]
         hashed, prefix, around, self.text, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True))
-        part = ((hashed & LOW) % np.uint64(parts)).astype(np.int64)
-        self.order = np.lexsort((around, prefix[:, 2], prefix[:, 1], prefix[:, 0], part))
-        prefix, around, part, text = prefix[self.order], around[self.order], part[self.order], self.text[self.order]
+        part = (hashed & LOW) % np.uint64(parts)
+        width = np.uint64(max(1, parts.bit_length()))
+        self.order = in_order(prefix, part << (np.uint64(64) - width) | prefix[:, 0] >> width)
+        prefix, part, text = prefix[self.order], part[self.order].astype(np.int64), self.text[self.order]
         new = ~shares_prefix(prefix)
         new[1:] |= part[1:] != part[:-1]
         starts = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1  # of each run in order
         self.keys, self.parts = prefix[starts], part[starts]
         self.shared = np.maximum.reduceat(text, starts) != np.minimum.reduceat(text, starts) if len(starts) else np.zeros(0, bool)
-        other = new.copy()
-        other[1:] |= around[1:] != around[:-1]
-        self.kinds = np.minimum(np.add.reduceat(other, starts, dtype=np.int64), 65_535) if len(starts) else np.zeros(0, np.int64)
+        self.kinds = np.ones(len(starts), np.int64)
+        if counted:
+            several = np.flatnonzero(~(new & np.append(new[1:], True)))  # runs whose beginning has more than one
+            entry, around = self.entry[several], around[self.order[several]]
+            order = np.lexsort((around, entry))
+            entry, around = entry[order], around[order]
+            other = np.ones(len(entry), bool)
+            other[1:] = (entry[1:] != entry[:-1]) | (around[1:] != around[:-1])
+            found_entries, counts = np.unique(entry[other], return_counts=True)
+            self.kinds[found_entries] = np.minimum(counts, 65_535)
 
     @staticmethod
-    def _runs(chunk: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    def _runs(chunk: list[tuple[int, int, bytes]], length: int, counted: bool) -> tuple[np.ndarray, ...]:
         """Hash and first bytes of the sampled suffix, a hash of the text around it, the text, the first and the last start."""
         sizes = np.array([len(p) for *_, p in chunk])
         data = b"".join(p for *_, p in chunk) + bytes(8 + PREFIX)
@@ -180,7 +200,7 @@ class Runs:
         words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         prefix = np.stack([words[anchor + i].byteswap() for i in range(0, PREFIX, 8)], 1)
         # the first and the last string cover all that is around a suffix
-        around = _hashed(mixed, first, length, 1) * ODD[5] ^ _hashed(mixed, last, length, 2) + (last - first).astype(np.uint64) * ODD[6]
+        around = _hashed(mixed, first, length, 1) * ODD[5] ^ _hashed(mixed, last, length, 2) + (last - first).astype(np.uint64) * ODD[6] if counted else np.zeros(len(first), np.uint64)
         return key[anchor], prefix, around, np.array([i for i, *_ in chunk])[piece], first + shift[piece], last + shift[piece]
 
     def by_part(self) -> Iterator[tuple[int, slice]]:
@@ -249,23 +269,30 @@ def _message(**columns) -> pa.Table:
     return pa.table({k: pa.array(v, kinds.get(k, pa.string() if k == "kind" else pa.binary())) for k, v in columns.items()})
 
 
-def confirm(data: np.ndarray, at: np.ndarray, starts: np.ndarray, group: np.ndarray, owner: np.ndarray, later: np.ndarray, order: np.ndarray, length: int) -> None:
-    """Compares the strings of each group byte by byte with its first; where hashes collided, decides anew by the bytes. All but later are in the order of groups."""
-    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else np.zeros((0, length), np.uint8)
-    rest = np.setdiff1d(np.arange(len(at)), starts, assume_unique=True)
-    broken: set[int] = set()
-    for k in range(0, len(rest), 100_000):
-        some = rest[k : k + 100_000]
-        equal = (windows[at[some]] == windows[at[starts[group[some]]]]).all(1)
-        broken.update(group[some[~equal]].tolist())
-    for g in broken:
+def confirm(data: bytes, at: np.ndarray, starts: np.ndarray, group: np.ndarray, owner: np.ndarray, later: np.ndarray, order: np.ndarray, length: int) -> None:
+    """Compares the strings that are to go byte by byte with one of the smallest owner in their group; where hashes collided, decides anew by the bytes.
+
+    All but later are in the order of groups.
+    """
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    steps = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    owns = owner == np.minimum.reduceat(owner, starts)[group]
+    least = np.minimum.reduceat(np.where(owns, np.arange(len(owner)), len(owner)), starts)
+    going = np.flatnonzero(later[order])
+    equal = np.ones(len(going), bool)
+    for k in range(0, len(going), 1_000_000):
+        some = going[k : k + 1_000_000]
+        own, other = at[some], at[least[group[some]]]
+        for step in steps:
+            equal[k : k + len(some)] &= words[own + step] == words[other + step]
+    for g in set(group[going[~equal]].tolist()):
         members = np.flatnonzero(group == g)
-        least: dict[bytes, int] = {}
+        smallest: dict[bytes, int] = {}
         for i in members:
-            own = windows[at[i]].tobytes()
-            least[own] = min(int(owner[i]), least.get(own, int(owner[i])))
+            own = data[at[i] : at[i] + length]
+            smallest[own] = min(int(owner[i]), smallest.get(own, int(owner[i])))
         for i in members:
-            later[order[i]] = least[windows[at[i]].tobytes()] < owner[i]
+            later[order[i]] = smallest[data[at[i] : at[i] + length]] < owner[i]
 
 
 class SuffixIndex:
@@ -332,7 +359,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
     rows = docs.select(slot.cast("long").alias("slot"), k.alias("k"), docs[text].cast("binary").alias("data"))
 
     def arrays(slot: pa.Table) -> pa.Table:
-        runs = Runs(_sorted_texts(slot)[1], length, parts)
+        runs = Runs(_sorted_texts(slot)[1], length, parts, counted=True)
         own = list(runs.by_part())
         return _message(
             slot=[slot.column("slot")[0].as_py()] * len(own), part=[p for p, _ in own], keys=[packed_keys(runs.keys[s]) for _, s in own], shared=[_packed(runs.shared[s]) for _, s in own],
@@ -390,7 +417,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
         least = np.minimum.reduceat(owner[order], starts)
         later = np.empty(len(order), bool)
         later[order] = least[group] < owner[order]
-        whole = np.frombuffer(b"".join(part.column("strings").to_pylist()), np.uint8)
+        whole = b"".join(part.column("strings").to_pylist())
         confirm(whole, np.concatenate(at)[order], starts, group, owner[order], later, order, length)
         cuts = np.cumsum([0, *counts])
         return _message(slot=part.column("slot").to_pylist(), part=part.column("part").to_pylist(), bits=[_packed(later[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
