@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .lattice_lm import op6_lattice_lm
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_rules import OP9_SQL, op9_line_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op8_chat": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op8_chat": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_filter_audit": OP13_SQL}
