@@ -9,6 +9,7 @@ from .lattice_lm import op6_lattice_lm
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_rules import OP9_SQL, op9_line_rules
 from .mixing import op2_mix
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op5_quality
 from .simhash import op3_simhash
 from .site_tree import op7_site_tree
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES = {"op1_line_dedup": OP1_SQL, "op8_chat": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_decontaminate": OP10_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op8_chat": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_decontaminate": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
