@@ -9,6 +9,7 @@ from .lattice_lm import op6_lattice_lm
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .line_rules import OP9_SQL, op9_line_rules
 from .mixing import op2_mix
+from .packing import op11_packing
 from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op5_quality
 from .simhash import op3_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_packing": op11_packing,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
