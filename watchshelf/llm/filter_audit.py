@@ -48,11 +48,12 @@ def flagged(docs: DataFrame, labels: DataFrame, ws: Workspace, part: str = "sour
         F.unhex(F.sha2(F.coalesce(docs[text], F.lit("")), 256)).alias("sha"),
     )
     slim = ws.save(slim, "flags")
-    first = slim.groupBy("sha").agg(F.min("id").alias("first"))
+    # written, so that the join meets plain shuffles on both sides, which Spark can split
+    first = ws.save(slim.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
     copy = F.when(F.col("id") > F.col("first"), F.lit(BIT["E"])).otherwise(F.lit(0))
     one = lambda c: F.max(labels[c] == 1).alias(c)
-    marks = labels.filter(labels[key].isNotNull()).groupBy(labels[key].alias("id")).agg(one("quality"), one("toxic"))
-    rows = slim.join(first, "sha").select("id", "part", (F.col("fails") + copy).alias("fails")).join(marks, "id", "left")
+    marks = ws.save(labels.filter(labels[key].isNotNull()).groupBy(labels[key].alias("id")).agg(one("quality"), one("toxic")), "marks")
+    rows = slim.join(first, "sha", "left").select("id", "part", (F.col("fails") + copy).alias("fails")).join(marks, "id", "left")
     return rows.select("part", "fails", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
