@@ -58,7 +58,7 @@ def test_same_as_sql(spark, edge_dir, name, edge):
     assert rows_of(QUERIES[name](spark, folder)) == rows_of_sql(ORACLES[name], folder)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(("op11_", "op12_", "op13_"))))  # their rows aren't documents; they have such tests of their own
 def test_nulls_repeats_and_empty_tables(spark, edge_dir, tmp_path, name):
     """Null keys and repeated rows don't crash, and give as many rows as the contract has; empty tables give no documents."""
     odd, none = tmp_path / "odd", tmp_path / "none"
