@@ -41,6 +41,29 @@ def test_misses_by_brute_force(spark, least, total):
         assert (rate == 0).any() and (rate > 0).any()  # the bound binds
 
 
+@pytest.mark.parametrize("seed", [1, 5])
+@pytest.mark.parametrize(("weights", "least", "total"), [([0.85, 0.1, 0.05], 1.0, None), ([0.01, 0.01, 0.98], 0.0, 900.0), ([0.34, 0.33, 0.33], 1.0, 1000.0)])
+def test_other_seeds_and_targets_out_of_reach(spark, seed, weights, least, total):
+    """No rates of that bound have smaller misses; where targets can't be met, the least ones remain."""
+    rng = np.random.default_rng(seed)
+    tokens, p = rng.integers(5, 60, 40), rng.dirichlet([0.3, 0.2, 0.4], 40)
+    soft = spark.createDataFrame([(i, int(n), list(map(float, x))) for i, (n, x) in enumerate(zip(tokens, p, strict=True))], SOFT)
+    _, history = mixing.fit_rates(soft, weights, total_tokens=total, least=least)
+    size = total or 1.02 * max(tokens @ p / weights)
+    expected = brute_rates(tokens, p, np.array(weights) * size, least)
+    # plain steps may not be through after so many, so the fit may be better
+    assert np.linalg.norm(history[-1]) < np.linalg.norm(expected) + 1e-4
+    assert (np.linalg.norm(expected) > 0.4) == (total == 1000.0)
+
+
+def test_a_domain_whose_rows_are_all_at_the_bound(spark):
+    """The first domain has more tokens than its target at the least rates; the second can still be met."""
+    soft = spark.createDataFrame([(i, 10, [1.0, 0.0]) for i in range(20)] + [(20 + i, 10, [0.0, 1.0]) for i in range(5)], SOFT)
+    rate, history = mixing.fit_rates(soft, [0.5, 0.5], total_tokens=300.0, least=1.0)
+    assert abs(history[-1][0] - 0.25) < 1e-4 and abs(history[-1][1]) < 1e-4
+    assert {r.rate if r.k < 20 else round(r.rate, 3) for r in soft.withColumn("rate", rate).collect()} == {1.0, 3.0}
+
+
 def test_an_unsettled_fit_raises(spark):
     soft = spark.createDataFrame([(1, 10, [0.6, 0.4]), (2, 10, [0.4, 0.6])], SOFT)
     with pytest.raises(RuntimeError, match="did not settle"):

@@ -3,13 +3,15 @@
 A naive Bayes classifier over hashed words is counted from a labelled table and gives every document a
 posterior over the domains (sharpened only with the square root of its length, so that long texts stay soft).
 Rates are then fitted so that the expected tokens of each domain, the sum of rate * tokens * posterior, meet the
-targets: projected gradient on the least squares of the relative misses (with a slight pull of all rates to 1, which
-settles between equal fits). The gradient of a row is its posterior times one number for each domain, so all steps
-together are such numbers too, and a row's rate is 1 less its posterior times them, projected onto rates of at least
-`least` (0 or more). A step is one pass over all rows that sums, for each domain, what the rates reach, and for each two
-domains what rows share that the bound leaves free; by these shares the step is scaled, so that few passes suffice.
-Nothing but these sums reaches the driver. The fit ends where the gradient is zero: with the targets met or, if the
-bound keeps them out of reach, with the least misses. A fit that doesn't get there raises.
+targets: least squares of the relative misses over rates of at least `least` (0 or more). A step along the gradient
+moves a row's rate by its posterior times one number for each domain, so the fit keeps only these numbers, summed over
+all steps: a row's rate is 1 less its posterior times them, projected onto the bound. Each pass over all rows sums, for
+each domain, what the projected rates reach, and for each two domains what rows share that the bound leaves free; by
+these shares the step is scaled (a damped Newton step of the dual problem), since plain steps of projected gradient
+need thousands of passes where the bound acts. A slight pull of all rates to 1 settles between equal fits. It bends
+the targets a little, and the more the further rates have to go, so it is divided by ten, from where the fit stands,
+until the true misses are gone or no longer move. Nothing but the sums reaches the driver. The fit ends with the
+targets met or, if the bound keeps them out of reach, with the least misses.
 
 The classifier learns from at most max_labelled labelled documents, drawn by a hash of their keys (a documented bound
 on labelled rows; all documents are scored and fitted). Its numbers, buckets * domains of them, travel inside the
@@ -36,8 +38,8 @@ from .common import WORD_BREAKS, Workspace, drawn, table
 BUCKETS = 8192
 #: The classifier learns from so many labelled documents at most.
 MAX_LABELLED = 20_000
-#: The pull of rates to 1, against the squared misses.
-PULL = 1e-5
+#: The pulls of rates to 1, against the squared misses, one after the other.
+PULLS = [10.0**-k for k in range(5, 14)]
 
 
 def _buckets(text: Column, buckets: int) -> Column:
@@ -102,10 +104,10 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [r[n] / r[i] for i, r in enumerate(rows)]
 
 
-def fit_rates(soft: DataFrame, weights: list[float], total_tokens: float | None = None, headroom: float = 1.02, least: float = 0.0, steps: int = 300, tolerance: float = 1e-5) -> tuple[Column, list[list[float]]]:
-    """The rate as a column of soft (n_tokens, p), and the relative misses of each step (the last: of the result).
+def fit_rates(soft: DataFrame, weights: list[float], total_tokens: float | None = None, headroom: float = 1.02, least: float = 0.0, steps: int | None = None, tolerance: float = 1e-5) -> tuple[Column, list[list[float]]]:
+    """The rate as a column of soft (n_tokens, p), and the relative misses of each pass (the last: of the result).
 
-    total_tokens None: the smallest total that thins no domain, times headroom.
+    total_tokens None: the smallest total that thins no domain, times headroom. steps: raises if so many passes don't suffice.
     """
     domains = range(len(weights))
     tokens, p = F.col("n_tokens"), [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) for d in range(len(weights))]
@@ -115,31 +117,54 @@ def fit_rates(soft: DataFrame, weights: list[float], total_tokens: float | None
         total_tokens = headroom * max((n / w for n, w in zip(natural, weights, strict=True) if w > 0), default=0.0)
     targets = [w * total_tokens for w in weights]
     weight = [max(n, 1.0) ** 2 / max(sum(natural), 1.0) for n in natural]
-    at = [0.0 for _ in domains]  # the steps so far
-    trial, step, history = at, at, []
-    height, slope, share = math.inf, 0.0, 1.0
-    for _ in range(steps):
+    history: list[list[float]] = []
+
+    def relative(xs: list[float]) -> list[float]:
+        return [x / max(n, 1.0) for x, n in zip(xs, natural, strict=True)]
+
+    def rate_at(trial: list[float]) -> tuple[Column, Column]:
         free = F.lit(1.0) - reduce(Column.__add__, [p[d] * F.lit(trial[d]) for d in domains])
-        rate = F.greatest(F.lit(float(least)), free)
+        return F.greatest(F.lit(float(least)), free), free
+
+    def summed(trial: list[float]) -> dict:
+        if steps is not None and len(history) >= steps:
+            raise RuntimeError(f"rates did not settle in {steps} steps; the relative misses are {history[-1]}")
+        rate, free = rate_at(trial)
         reached = [F.sum(rate * tokens * p[d]).alias(f"s{d}") for d in domains]
         shared = [F.sum(F.when(free > least, tokens * p[d] * p[e])).alias(f"g{d}_{e}") for d in domains for e in range(d + 1)]
         area = F.sum(tokens * (rate * free - rate * rate / 2)).alias("area")
         sums = {c: x or 0.0 for c, x in soft.agg(area, *reached, *shared).first().asDict().items()}
-        miss = [sums[f"s{d}"] - targets[d] for d in domains]
-        history.append([m / max(n, 1.0) for m, n in zip(miss, natural, strict=True)])
-        gradient = [miss[d] - PULL * weight[d] * trial[d] for d in domains]
-        if max((abs(x) / max(n, 1.0) for x, n in zip(gradient, natural, strict=True)), default=0.0) <= tolerance:
-            return rate, history
-        # the convex function of the steps whose slope is the gradient; a step that doesn't lower it is halved
-        now = sums["area"] + sum(t * x + PULL * w * x * x / 2 for t, w, x in zip(targets, weight, trial, strict=True))
-        if now > height - 1e-4 * share * slope + 1e-12 * abs(height):
-            share /= 2
-        else:
-            matrix = [[sums[f"g{max(d, e)}_{min(d, e)}"] + (PULL * weight[d] if d == e else 0.0) for e in domains] for d in domains]
-            at, height, step, share = trial, now, _solved(matrix, gradient), 1.0
-            slope = sum(a * b for a, b in zip(gradient, step, strict=True))
-        trial = [x + share * y for x, y in zip(at, step, strict=True)]
-    raise RuntimeError(f"rates did not settle in {steps} steps; the relative misses are {history[-1]}")
+        history.append(relative([sums[f"s{d}"] - targets[d] for d in domains]))
+        return sums
+
+    at = [0.0 for _ in domains]  # the steps so far
+    sums, before = summed(at), None
+    for pull in PULLS:
+        step, height, slope, share, trial = at, math.inf, 0.0, 1.0, at
+        while True:
+            miss = [sums[f"s{d}"] - targets[d] for d in domains]
+            gradient = [miss[d] - pull * weight[d] * trial[d] for d in domains]
+            if max(map(abs, relative(gradient)), default=0.0) <= tolerance:
+                at = trial
+                break
+            # the convex function of the steps whose slope is the gradient; a step that doesn't lower it is halved
+            now = sums["area"] + sum(t * x + pull * w * x * x / 2 for t, w, x in zip(targets, weight, trial, strict=True))
+            if now > height - 1e-4 * share * slope + 1e-12 * abs(height):
+                share /= 2
+                if share < 1e-9:  # as far as numbers of this size can tell, at is the lowest point
+                    sums = summed(at)
+                    break
+            else:
+                matrix = [[sums[f"g{max(d, e)}_{min(d, e)}"] + (pull * weight[d] if d == e else 0.0) for e in domains] for d in domains]
+                at, height, step, share = trial, now, _solved(matrix, gradient), 1.0
+                slope = sum(a * b for a, b in zip(gradient, step, strict=True))
+            trial = [x + share * y for x, y in zip(at, step, strict=True)]
+            sums = summed(trial)
+        size = math.hypot(*history[-1])
+        if size <= 2 * tolerance or (before is not None and abs(before - size) <= tolerance):
+            break
+        before = size
+    return rate_at(at)[0], history
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], domain: str, text: str, keep: list[Column], key: str, least: float = 0.0, **options) -> DataFrame:
