@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
-def components(links: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """node, root (the smallest node reachable) for each node of links (a, b); a node without links is not listed.
 
     Each round connects every larger neighbour of a node to its smallest one (large star), then every smaller
     neighbour and the node itself to the smallest one (small star), and writes the edges to the shared folder.
-    It ends when the edges no longer change; each is then a node with its root. Hubs are safe: minima are
+    It ends when the edges no longer change, in some log n rounds; each is then a node with its root. Hubs are safe: minima are
     combined before they are shuffled, and the joins are ones whose skewed partitions Spark splits.
     """
     up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     edges, before = ws.save(up(links).distinct(), "edges0"), None
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = up(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -32,7 +34,5 @@ def components(links: DataFrame, ws: Workspace, max_rounds: int = 60) -> DataFra
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
