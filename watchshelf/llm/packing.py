@@ -275,7 +275,7 @@ def pack(pieces: DataFrame, size: int = SIZE, shard: int = SHARD) -> DataFrame:
     live = rows.filter(~full)
     shards, k = -(-live.count() // shard), 0
     while True:
-        dealt = live.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("bin", "item"), F.lit(k)), F.lit(max(1, shards))))
+        dealt = live.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("bin", "item"), F.lit(k)), F.lit(max(1, shards)))).repartition(max(1, shards), "shard")
         now = ws.save(dealt.groupBy("shard").applyInArrow(_pack_shard(size), dealt.schema).drop("shard"), f"round{k}")
         # a bin's first row stands for the bin; one row for each fill
         fills = now.groupBy("fill").agg(F.count("*").alias("n"), F.count(F.when(F.col("offset") == 0, 1)).alias("bins")).collect() if shards > 1 else []

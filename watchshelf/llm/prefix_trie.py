@@ -164,7 +164,7 @@ def prefix_trie(convs: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
         live = ws.save(inside.select("conv_id", "n_convs", "path", "ends", F.unhex(F.md5(F.concat("key", _part("path", level * TURN, DIGEST)))).alias("key"), F.col("key").alias("up"), "up_conv"), f"live{level}")
         spine.append(large)
     buckets = int(first["turns"] / max_turns) + 1
-    dealt = reduce(DataFrame.unionByName, groups).withColumn("bucket", F.pmod(F.xxhash64("level", "key"), F.lit(buckets)))
+    dealt = reduce(DataFrame.unionByName, groups).withColumn("bucket", F.pmod(F.xxhash64("level", "key"), F.lit(buckets))).repartition(buckets, "bucket")
     nodes = ws.save(dealt.groupBy("bucket").applyInPandas(build_tries, f"{_NODES}, up binary"), "nodes")
     tops, whole = nodes.filter("up IS NOT NULL"), [nodes.drop("up")]
     for level in range(len(spine) - 1, -1, -1):
