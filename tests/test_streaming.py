@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from watchshelf.operators import limits
 from watchshelf.streaming import counters, keyed
 
 from conftest import DATA
@@ -35,7 +36,7 @@ def test_limits_on_a_stream_and_on_a_table(spark, tmp_path):
     rule = keyed.Rule(2, 60)
     stream = keyed.limited(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), rule)
     counters.drain(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    expected = sorted(map(tuple, keyed.limited_table(table, rule).collect()))
+    expected = sorted(map(tuple, limits.limited_table(table, rule).collect()))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == expected and len(expected) == 11
 
 

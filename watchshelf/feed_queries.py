@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import calendar, values
+from .functions import values
 from .operators import lookups, merge
 from .plans import activity, ingestion
 from .registry import Tables, query
@@ -116,22 +116,22 @@ def import_counts(t: Tables) -> DataFrame:
     return ingestion.success_counts(t.raw("events").select((F.col("event_type") != "error").alias("ok")))
 
 
-@query("""SELECT id, bangumi_id, CASE WHEN bangumi_id % 3 = 0 THEN concat(name, '!') ELSE name END AS name, CASE WHEN bangumi_id % 3 <> 0 THEN score END AS score, air_date AS created_at FROM subject WHERE bangumi_id % 2 = 0
-    UNION ALL SELECT CAST(NULL AS BIGINT), bangumi_id, concat(name, '!'), NULL, DATE '2024-01-20' FROM subject WHERE bangumi_id % 2 <> 0 AND bangumi_id % 3 = 0""")
+@query("""SELECT CASE WHEN bangumi_id % 2 = 0 THEN id END AS id, bangumi_id, CASE WHEN fresh THEN concat(name, '!') ELSE name END AS name, CASE WHEN NOT fresh THEN score END AS score,
+      CASE WHEN bangumi_id % 2 = 0 THEN air_date ELSE DATE '2024-01-20' END AS created_at FROM (SELECT *, bangumi_id % 2 <> 0 OR bangumi_id % 3 = 0 AS fresh FROM subject)""")
 def upserted_subjects(t: Tables) -> DataFrame:
-    """Known subjects keep their id and the day they were created, where they have one; fresh nulls hold; of a subject that comes twice the larger row counts."""
+    """The base holds the even subjects, the feed all odd ones and every third: known ones keep their id and, where they have one, the day they were created; fresh nulls hold; of a subject that comes twice the larger row counts."""
     own = t.subject.select("id", "bangumi_id", "name", "score", F.coalesce("air_date", F.lit(date(2024, 1, 20))).alias("created_at"))
-    fresh = own.filter("bangumi_id % 3 = 0").select("bangumi_id", F.concat("name", F.lit("!")).alias("name"), F.lit(None).cast("double").alias("score"), F.lit(date(2024, 1, 20)).alias("created_at"))
+    fed = own.filter("bangumi_id % 2 <> 0 OR bangumi_id % 3 = 0")
+    fresh = fed.select("bangumi_id", F.concat("name", F.lit("!")).alias("name"), F.lit(None).cast("double").alias("score"), F.lit(date(2024, 1, 20)).alias("created_at"))
     merged = ingestion.merged_subjects(own.filter("bangumi_id % 2 = 0"), fresh.unionByName(fresh.withColumn("name", F.lit("!"))))
     undated = t.subject.filter("air_date IS NULL AND bangumi_id % 2 = 0").select("bangumi_id", F.lit(True).alias("undated"))
     return merged.join(undated, "bangumi_id", "left").withColumn("created_at", F.when(F.col("undated").isNull(), F.col("created_at"))).drop("undated")
 
 
-@query("""SELECT p_partkey AS id, p_partkey % 50 AS subject_id, p_partkey AS bangumi_ep_id, CASE WHEN p_partkey % 3 = 0 THEN 'fresh' ELSE p_name END AS name FROM part WHERE p_partkey % 2 = 0
-    UNION ALL SELECT CAST(NULL AS BIGINT), p_partkey % 50, p_partkey, 'fresh' FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 3 = 0""")
+@query("""SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS id, p_partkey % 50 AS subject_id, p_partkey AS bangumi_ep_id, CASE WHEN p_partkey % 2 = 1 OR p_partkey % 3 = 0 THEN 'fresh' ELSE p_name END AS name FROM part""")
 def upserted_episodes(t: Tables) -> DataFrame:
     own = _part(t, "p_partkey AS id, p_partkey % 50 AS subject_id, p_partkey AS bangumi_ep_id, p_name AS name")
-    fresh = own.filter("id % 3 = 0").select("subject_id", "bangumi_ep_id", F.lit("fresh").alias("name"))
+    fresh = own.filter("id % 2 = 1 OR id % 3 = 0").select("subject_id", "bangumi_ep_id", F.lit("fresh").alias("name"))
     return ingestion.merged_episodes(own.filter("id % 2 = 0"), fresh)
 
 
@@ -206,14 +206,3 @@ def small_functions(t: Tables) -> DataFrame:
         "event_id", values.is_safe_id(ids).alias("safe"), values.url_extension(urls).alias("extension"), values.error_kind(pick(4, "CancelledError", "ValueError", "OSError", None)).alias("kind"), shown.alias("kept"),
         F.array_join(values.merged_unique(F.array(F.lit("x"), "event_type"), F.array("event_type", F.lit("y"), F.lit("x"))), ",").alias("merged"),
     )
-
-
-@query("""SELECT * FROM (VALUES ('2026-summer', 2026, 'summer'), (' 1998-WINTER ', 1998, 'winter'), ('2026-monsoon', NULL, NULL), ('summer', NULL, NULL), ('', NULL, NULL)) k(season_key, year, season)""")
-def season_keys(t: Tables) -> DataFrame:
-    def parsed(text: str) -> tuple:
-        try:
-            return (text, *calendar.parse_season(text))
-        except ValueError:
-            return text, None, None
-
-    return t.spark.createDataFrame([parsed(x) for x in ("2026-summer", " 1998-WINTER ", "2026-monsoon", "summer", "")], "season_key string, year int, season string")

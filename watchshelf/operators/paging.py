@@ -40,8 +40,9 @@ def page_after(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None
 
 
 def numbered(df: DataFrame, name: str = "place") -> DataFrame:
-    """A page's rows with their number in its order, from 1."""
-    return df.coalesce(1).withColumn(name, F.monotonically_increasing_id() + 1)
+    """A page's rows, PAGE_CAP at most, with their number in its order, from 1. For more rows see operators.ordered."""
+    # a limited sort is one partition, so ids grow by one
+    return df.limit(PAGE_CAP).withColumn(name, F.monotonically_increasing_id() + 1)
 
 
 def total(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import calendar, values
-from .operators import aggregates, filters, lookups, merge, paging
+from .operators import aggregates, filters, limits, lookups, merge, ordered, paging
 from .plans import activity, catalog, collections, dashboard
 from .registry import AS_OF, ORACLES, QUERIES, Tables, query
 from .streaming import keyed
@@ -160,7 +160,7 @@ def subject_detail(t: Tables) -> DataFrame:
     row_number() OVER (ORDER BY sort, id, airdate) AS place FROM (SELECT id, subject_id, type, sort, min(airdate) AS airdate FROM episode WHERE subject_id = 7 GROUP BY ALL)""")
 def episode_list(t: Tables) -> DataFrame:
     own = t.episode.groupBy("id", "subject_id", "type", "sort").agg(F.min("airdate").alias("airdate"))
-    return paging.numbered(catalog.episodes(own, 7, date(1998, 6, 1)).drop("airdate"))
+    return ordered.Numbered(catalog.episodes(own, 7, date(1998, 6, 1)).drop("airdate"), [F.col("sort"), F.col("id"), F.col("status")]).places()
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS id, name, count(*) AS count FROM subject_tag GROUP BY name")
@@ -379,10 +379,11 @@ def display_name(t: Tables) -> DataFrame:
     return t.subject.select("id", values.display_name(F.col("name_cn"), F.col("name")).alias("display_name"))
 
 
-@query("""SELECT id, 'left' AS side FROM subject WHERE id % 10 = 0 AND id % 15 <> 0 UNION ALL SELECT id, 'right' FROM subject WHERE id % 15 = 0 AND id % 10 <> 0""")
+@query("""SELECT id, eps, 'left' AS side FROM subject WHERE eps % 7 = 0 UNION ALL SELECT id, eps + 1, 'right' FROM subject WHERE eps % 7 = 0""")
 def list_differences(t: Tables) -> DataFrame:
-    ids = t.subject.select("id")
-    return lookups.differences(ids.filter("id % 10 = 0"), ids.filter("id % 15 = 0"))
+    """All subjects against a list in which some have one episode more."""
+    own = t.subject.select("id", "eps")
+    return lookups.differences(own, own.withColumn("eps", F.when(F.col("eps") % 7 == 0, F.col("eps") + 1).otherwise(F.col("eps"))))
 
 
 @query("SELECT user_id, string_agg(DISTINCT action, ',' ORDER BY action) AS actions FROM operation_log GROUP BY user_id")
@@ -432,7 +433,7 @@ def text_functions(t: Tables) -> DataFrame:
     SELECT CAST(user_id AS VARCHAR) AS key, event_id, CAST(hits AS BIGINT) AS hits, hits <= 2 AS allowed FROM s""")
 def rate_windows(t: Tables) -> DataFrame:
     rows = t.raw("events").select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", F.lit(True).alias("success"))
-    return keyed.limited_table(rows, keyed.Rule(2, 86_400)).select("key", "event_id", "hits", "allowed")
+    return limits.limited_table(rows, limits.Rule(2, 86_400)).select("key", "event_id", "hits", "allowed")
 
 
 @query("SELECT user_id, max(ts) AS created_at FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 600 SECOND AND ts <= TIMESTAMP '2024-01-25 00:00:00' GROUP BY user_id")

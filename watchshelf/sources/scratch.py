@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names. Where it is unset, a folder beside the warehouse, or on one machine a temporary one."""
+    """What spark.checkpoint.dir names. Where it is unset, on one machine a temporary folder; a cluster must name one, for its executors may share no other."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", "")):
-        alone = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        folder = tempfile.mkdtemp(prefix="watchshelf-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_watchshelf"
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="watchshelf-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in it that nobody uses yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to a fresh path, in a folder for each value of a column if given, and read again; it has no lineage to recompute."""
+    path = fresh_path(df.sparkSession, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import filters, merge, paging
+from .operators import filters, ledger, limits, merge, ordered, paging
 from .plans import activity, collections
 from .registry import Tables, query
-from .streaming import counters, keyed
+from .sources.scratch import fresh_path, written
+from .streaming import counters, keyed, previews
 
 
 @query("SELECT session_id, updated_at, row_number() OVER (ORDER BY updated_at DESC, session_id) + 5 AS place FROM (SELECT DISTINCT conv_id AS session_id, DATE '2024-01-01' + CAST(conv_id % 9 AS INT) AS updated_at FROM conversations WHERE conv_id % 3 = 1 ORDER BY updated_at DESC, session_id LIMIT 5 OFFSET 5)")
@@ -52,29 +53,12 @@ def nested_subjects(t: Tables) -> DataFrame:
     return rows.select("id", "rate", F.col("subject.name").alias("subject_name"), "subject.subject_type", "subject.eps")
 
 
-@query("SELECT x.name, EXISTS (SELECT 1 FROM account a WHERE a.username = x.name) AS taken FROM (VALUES ('Customer#000000009'), ('nobody'), ('')) x(name)")
-def names_taken(t: Tables) -> DataFrame:
-    found = [(n, filters.exists(t.account, F.col("username") == n)) for n in ("Customer#000000009", "nobody", "")]
-    return t.spark.createDataFrame(found, "name string, taken boolean")
-
-
 @query("SELECT id FROM subject WHERE id % 3 = 0 AND id < 6000")
 def many_ids(t: Tables) -> DataFrame:
     """A list so long that it is joined."""
     return filters.among(t.subject, "id", list(range(0, 6000, 3))).select("id")
 
 
-@query("SELECT * FROM (VALUES (-1, false), (0, true), (10, true), (11, false)) v(score, accepted)")
-def bounds_checked(t: Tables) -> DataFrame:
-    def accepted(score: int) -> bool:
-        try:
-            return filters.between("score", score, 0, 10) == score
-        except ValueError:
-            return False
-
-    return t.spark.createDataFrame([(s, accepted(s)) for s in (-1, 0, 10, 11)], "score int, accepted boolean")
-
-
 @query("""SELECT 'subject' AS source, id FROM subject WHERE id % 7 <> 0 UNION ALL SELECT 'tag', id FROM subject_tag WHERE subject_id % 7 <> 0
     UNION ALL SELECT 'relation', subject_id FROM subject_relation WHERE subject_id % 7 <> 0 AND related_subject_id % 7 <> 0""")
 def deleted_subjects(t: Tables) -> DataFrame:
@@ -123,4 +107,120 @@ def endpoint_rules(t: Tables) -> DataFrame:
 def failure_locks(t: Tables) -> DataFrame:
     """Locked after three failures within two days of the first; a success clears the count."""
     rows = t.raw("events").select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", (F.col("event_type") == "purchase").alias("success"))
-    return keyed.limited_table(rows, keyed.Rule(3, 2 * 86_400, resets=True)).select("key", "event_id", "hits", "allowed")
+    return limits.limited_table(rows, limits.Rule(3, 2 * 86_400, resets=True)).select("key", "event_id", "hits", "allowed")
+
+
+# Places in an order over all rows: T3, T8, R8
+
+LINES = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY {', '.join(f'{c} NULLS FIRST' for c in LINES)}) AS place FROM lineitem")
+def numbered_lines(t: Tables) -> DataFrame:
+    """Every line with its place among all, numbered range by range."""
+    rows = t.raw("lineitem").select(*LINES)
+    return ordered.Numbered(rows, [F.col(c) for c in LINES]).places().select("l_orderkey", "l_linenumber", "l_extendedprice", "place")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_extendedprice, 4980 + row_number() OVER (ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in LINES)}) AS place
+    FROM (SELECT * FROM lineitem ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in LINES)} LIMIT 20 OFFSET 4980)""")
+def deep_page(t: Tables) -> DataFrame:
+    """The 250th page of all lines, newest first; it reads the ranges that it lies in."""
+    rows = t.raw("lineitem").select(*LINES)
+    return ordered.Numbered(rows, [F.col(c).desc() for c in LINES]).page(250).select("l_orderkey", "l_linenumber", "l_extendedprice", "place")
+
+
+@query("""SELECT event_id, max(epoch_us(hour) - place) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) + place AS strict
+    FROM (SELECT event_id, date_trunc('hour', ts) AS hour, row_number() OVER (ORDER BY event_id) AS place FROM events)""")
+def strict_stamps(t: Tables) -> DataFrame:
+    """Stamps that many events share, made strictly increasing in the order of arrival."""
+    rows = t.raw("events").select("event_id", F.date_trunc("hour", "ts").alias("hour"))
+    return ordered.strictly_increasing(rows, "hour", ["event_id"]).select("event_id", "strict")
+
+
+# Previews that expire: R5
+
+PREVIEWS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, CASE event_type WHEN 'signup' THEN 'save' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'invalidate' ELSE 'find' END AS op FROM events),
+    s AS (SELECT *, last_value(CASE WHEN op IN ('save', 'complete') THEN {'ts': ts, 'id': event_id, 'op': op} END IGNORE NULLS) OVER w AS stored, last_value(CASE WHEN op = 'invalidate' THEN {'ts': ts, 'id': event_id} END IGNORE NULLS) OVER w AS marked
+          FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT *, coalesce(ts < stored.ts + INTERVAL 1 DAY, false) AS alive, coalesce(marked > {'ts': stored.ts, 'id': stored.id}, false) AS gone FROM s)
+    SELECT key, event_id, op, CASE WHEN NOT alive THEN 'MISSING' WHEN gone THEN 'INVALIDATED' WHEN stored.op = 'save' THEN 'PENDING' ELSE 'COMPLETED' END AS status, CASE WHEN alive THEN concat('of ', stored.id) END AS value FROM a"""
+
+
+def _preview_events(t: Tables) -> DataFrame:
+    op = F.when(F.col("event_type") == "signup", "save").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "invalidate").otherwise("find")
+    return t.raw("events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), op.alias("op"), F.concat(F.lit("of "), F.col("event_id").cast("string")).alias("value"))
+
+
+@query(PREVIEWS)
+def preview_lookups(t: Tables) -> DataFrame:
+    """What is alive after each event of a user, whose previews live for a day."""
+    return previews.previewed_table(_preview_events(t), 86_400).drop("ts")
+
+
+@query(PREVIEWS)
+def previews_streamed(t: Tables) -> DataFrame:
+    """The same from a stream, drained, stopped, fed with the second half of the month and drained again from its state."""
+    rows, path = _preview_events(t), fresh_path(t.spark, "previews")
+    middle = F.lit("2024-01-16").cast("timestamp")
+    for part in (rows.filter(F.col("ts") < middle), rows.filter(F.col("ts") >= middle)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = previews.previewed(t.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), 86_400)
+        with previews.rocks(t.spark):
+            counters.drain(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return t.spark.read.schema(previews.SEEN).parquet(f"{path}/out").drop("ts")
+
+
+# Previews executed once: W12
+
+EXECUTIONS = """WITH c AS (SELECT user_id, id, ep_status FROM user_collection WHERE type = 3),
+    u AS (SELECT user_id, bool_or(id % 4 = 1) AS changed, list_sort(list(id) FILTER (id % 10 NOT IN (3, 7))) AS succeeded, list_sort(list(id) FILTER (id % 10 = 3)) AS skipped, list_sort(list(id) FILTER (id % 10 = 7)) AS failed
+          FROM c GROUP BY user_id),
+    r AS (SELECT u.*, k.k, k.minute FROM u, (VALUES (0, 1), (1, 5), (2, 9), (3, 10), (4, 20)) k(k, minute)),
+    s AS (SELECT user_id, k, changed, succeeded, skipped, failed,
+            CASE WHEN user_id % 7 = 0 THEN 'NOT_FOUND' WHEN user_id % 5 = 0 THEN CASE WHEN minute < 10 THEN 'CONFLICT' ELSE 'NOT_FOUND' END
+                 WHEN changed THEN CASE WHEN k = 0 THEN 'PREVIEW_CHANGED' WHEN minute < 10 THEN 'CONFLICT' ELSE 'NOT_FOUND' END
+                 WHEN minute < 11 THEN 'COMPLETED' ELSE 'NOT_FOUND' END AS state FROM r)
+    SELECT user_id * 10 + k AS request_id, state, state = 'COMPLETED' AND k > 0 AS replayed,
+      CASE WHEN state = 'COMPLETED' THEN concat(coalesce(array_to_string(succeeded, ','), ''), '/', coalesce(array_to_string(skipped, ','), ''), '/', coalesce(array_to_string(failed, ','), '')) END AS lists FROM s
+    UNION ALL SELECT user_id * 10 + 9, 'NOT_FOUND', false, NULL FROM u"""
+
+
+def _executed(t: Tables) -> tuple[ledger.Executed, ledger.Executed]:
+    """Each user's preview of all that they watch, asked for at minutes 1, 5 and 20, and in a second call at 9 and 10; minute 10 is its end.
+
+    Meanwhile some rows have moved on (id % 10 = 3) or gone (7), and users with an id % 4 = 1 have another recomputation.
+    """
+    own = written(t.user_collection.filter("type = 3").select("user_id", F.col("id").alias("subject_id"), "ep_status"), "watching")
+    minute = lambda n: F.timestamp_add("MINUTE", n if isinstance(n, Column) else F.lit(n), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    name = F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("preview_id")
+    items = own.select("user_id", name, "subject_id", F.col("ep_status").alias("current_ep_status"), (F.col("ep_status") + 1).alias("target_ep_status"))
+    again = items.withColumn("target_ep_status", F.col("target_ep_status") + F.when(F.col("subject_id") % 4 == 1, 1).otherwise(0))
+    users = own.select("user_id").distinct()
+    shown = users.select("user_id", name, F.when(F.col("user_id") % 5 == 0, "INVALIDATED").otherwise("PENDING").alias("status"), F.when(F.col("user_id") % 7 == 0, minute(0)).otherwise(minute(10)).alias("expires_at"))
+    base = own.filter("subject_id % 10 <> 7").withColumn("ep_status", F.col("ep_status") + F.when(F.col("subject_id") % 10 == 3, 5).otherwise(0))
+
+    def asked(minutes: list[tuple[int, int]]) -> DataFrame:
+        each = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("minute")) for k, m in minutes]))
+        return users.select("user_id", name, each).select((F.col("user_id") * 10 + F.col("k")).alias("request_id"), "user_id", "preview_id", minute(F.col("minute")).alias("at"))
+
+    unknown = asked([(9, 2)]).withColumn("preview_id", F.lit("unknown"))
+    none = t.spark.createDataFrame([], ledger.LEDGER)
+    one = ledger.execute(asked([(0, 1), (1, 5), (4, 20)]).unionByName(unknown), shown, items, again, base, none)
+    two = ledger.execute(asked([(2, 9), (3, 10)]), one.previews, one.items, again, one.base, one.ledger)
+    return one, two
+
+
+@query(EXECUTIONS)
+def preview_executions(t: Tables) -> DataFrame:
+    """Answers to first, repeated, late and unknown requests for previews, some expired, invalid or changed."""
+    both = [x.answers for x in _executed(t)]
+    lists = F.concat_ws("/", *[F.array_join(x, ",") for x in ledger.LISTS])
+    return both[0].unionByName(both[1]).select("request_id", "state", "replayed", F.when(F.col("succeeded").isNotNull(), lists).alias("lists"))
+
+
+@query("""SELECT user_id, id AS subject_id, ep_status + CASE WHEN id % 10 = 3 THEN 5 WHEN user_id % 7 = 0 OR user_id % 5 = 0 OR changed THEN 0 ELSE 1 END AS ep_status
+    FROM (SELECT *, bool_or(id % 4 = 1) OVER (PARTITION BY user_id) AS changed FROM user_collection WHERE type = 3) WHERE id % 10 <> 7""")
+def executed_progress(t: Tables) -> DataFrame:
+    """Progress after both calls: what has been replayed is written once."""
+    return _executed(t)[1].base.select("user_id", "subject_id", "ep_status")

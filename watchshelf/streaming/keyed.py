@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-HITS = "key string, event_id long, ts timestamp, hits long, allowed boolean"
-
+from ..operators.limits import Rule
 
-@dataclass(frozen=True)
-class Rule:
-    """At most `limit` hits in `seconds` from a key's first one; with `resets`, a success clears the count."""
-
-    limit: int
-    seconds: int
-    resets: bool = False
+HITS = "key string, event_id long, ts timestamp, hits long, allowed boolean"
 
 
 def step(rule: Rule, opened: float | None, hits: int, at: float, success: bool) -> tuple[float | None, int, bool]:
@@ -59,24 +51,6 @@ def limited(events: DataFrame, rule: Rule, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(advance, HITS, "opened double, hits long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def limited_table(events: DataFrame, rule: Rule) -> DataFrame:
-    """The same over a table of events. A key's events must follow each other, so they are one task's; they stream through it."""
-
-    def advance(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opened, hits = None, None, 0
-        for rows in parts:
-            out = []
-            for own, event_id, ts, success in zip(rows.key, rows.event_id, rows.ts, rows.success, strict=True):
-                if own != key:
-                    key, opened, hits = own, None, 0
-                opened, hits, allowed = step(rule, opened, hits, ts.timestamp(), bool(success))
-                out.append((own, event_id, ts, hits, allowed))
-            yield pd.DataFrame(out, columns=["key", "event_id", "ts", "hits", "allowed"])
-
-    rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success").filter("key IS NOT NULL")
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(advance, HITS)
-
-
 def with_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events with the limit and window of their endpoint's rule; events of other endpoints are dropped."""
     return events.join(rules, "endpoint")
