@@ -13,6 +13,7 @@ from .plans import activity, ingestion
 from .registry import Tables, query
 from .sources import readers
 from .sources.scratch import fresh_path
+from .streaming import audit
 
 #: A date as feeds write it: whole, unpadded, with signs for year, month and day, with slashes and blanks, not at all, or empty.
 DAY = "(DATE '1995-01-01' + CAST(p_partkey % 2400 AS INT))"
@@ -60,9 +61,9 @@ def feed_browse(t: Tables) -> DataFrame:
     return readers.landed_browse(t.spark, _land(t, "browse", pages, ("year", "month")))
 
 
-@query("SELECT CAST(p_partkey AS INT) AS bangumi_id, p_name AS name, p_brand AS name_cn, CAST(count(*) OVER (PARTITION BY p_partkey % 40) AS INT) AS total FROM part")
+@query("SELECT CAST(p_partkey AS INT) AS bangumi_id, p_name AS name, p_brand AS name_cn, CAST(count(*) OVER (PARTITION BY p_partkey // 50) AS INT) AS total FROM part")
 def feed_search(t: Tables) -> DataFrame:
-    rows = _part(t, "p_partkey % 40 AS page, CAST(p_partkey AS INT) AS id, p_name AS name, p_brand AS name_cn")
+    rows = _part(t, "p_partkey DIV 50 AS page, CAST(p_partkey AS INT) AS id, p_name AS name, p_brand AS name_cn")
     pages = rows.groupBy("page").agg(F.collect_list(F.struct("id", "name", "name_cn")).alias("data"), F.count("*").alias("total")).drop("page")
     return readers.landed_search(t.spark, _land(t, "search", pages)).drop("date")
 
@@ -75,12 +76,14 @@ def feed_episodes(t: Tables) -> DataFrame:
     return ingestion.clean_episodes(landed, (F.col("id") * 2).cast("long"), date(1998, 1, 1)).drop("name_cn", "duration").withColumn("sort", F.col("sort").cast("double"))
 
 
-@query("SELECT CAST(p_partkey % 7 AS INT) AS day, CAST(row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) - 1 AS INT) AS place, CAST(p_partkey AS INT) AS bangumi_id FROM part")
+@query("""SELECT CAST(p_partkey // 500 AS INT) AS station, CAST(dense_rank() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey % 7) - 1 AS INT) AS day,
+    CAST(row_number() OVER (PARTITION BY p_partkey // 500, p_partkey % 7 ORDER BY p_partkey) - 1 AS INT) AS place, CAST(p_partkey AS INT) AS bangumi_id FROM part""")
 def feed_calendar(t: Tables) -> DataFrame:
-    days = _part(t, "p_partkey % 7 AS day, CAST(p_partkey AS INT) AS id").groupBy("day").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("items"))
-    week = days.agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "items"))), lambda d: F.struct(d["items"].alias("items"))).alias("week"))
+    """A calendar of at most 500 items for each station, so that files grow in number, not in size."""
+    days = _part(t, "p_partkey DIV 500 AS station, p_partkey % 7 AS day, CAST(p_partkey AS INT) AS id").groupBy("station", "day").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("items"))
+    weeks = days.groupBy("station").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "items"))), lambda d: F.struct(d["items"].alias("items"))).alias("week"))
     path = fresh_path(t.spark, "feed-calendar")
-    week.select(F.to_json("week")).write.text(path)
+    weeks.select("station", F.to_json("week")).write.partitionBy("station").text(path)
     return readers.landed_calendar(t.spark, path)
 
 
@@ -159,17 +162,34 @@ def job_records(t: Tables) -> DataFrame:
     return done.select("id", "mode", "status", "subject_count", "error_message", F.to_date("started_at").alias("started"), F.to_date("completed_at").alias("completed"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ann' WHEN event_id % 3 = 1 THEN 'b@x.org' END AS username,
+AUDIT = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ann' WHEN event_id % 3 = 1 THEN 'b@x.org' END AS username,
     CASE event_id % 3 WHEN 0 THEN '[{"username":"ann","password":"***"}]' WHEN 1 THEN '[{"k":1},{"username":" ","email":"b@x.org","code":"***"}]' ELSE '[]' END AS params,
-    CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS status, CASE WHEN event_type = 'error' THEN 'failed' END AS error_msg, CAST(event_id % 1000 AS BIGINT) AS duration_ms FROM events""")
+    CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS status, CASE WHEN event_type = 'error' THEN 'failed' END AS error_msg, CAST(event_id % 1000 AS BIGINT) AS duration_ms FROM events"""
+
+
+@query(AUDIT)
 def audit_rows(t: Tables) -> DataFrame:
+    return activity.audit_rows(_calls(t)).select(F.col("path").cast("long").alias("event_id"), "username", "params", "status", "error_msg", "duration_ms")
+
+
+@query(AUDIT)
+def audit_streamed(t: Tables) -> DataFrame:
+    """The same through a stream that ends and goes on, each batch written once."""
+    calls, path = _calls(t), fresh_path(t.spark, "audit")
+    odd = F.col("path").cast("long") % 2 == 1
+    for part in (calls.filter(odd), calls.filter(~odd)):
+        part.write.mode("append").parquet(f"{path}/in")
+        audit.drain_once(t.spark.readStream.schema(calls.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out").select(F.col("path").cast("long").alias("event_id"), "username", "params", "status", "error_msg", "duration_ms")
+
+
+def _calls(t: Tables) -> DataFrame:
     args = F.when(F.col("event_id") % 3 == 0, F.array(F.lit('{"username":"ann","password":"s\\"1"}'))).when(F.col("event_id") % 3 == 1, F.array(F.lit('{"k":1}'), F.lit('{"username":" ","email":"b@x.org","code":"12"}'))).otherwise(F.array().cast("array<string>"))
-    calls = t.raw("events").select(
+    return t.raw("events").select(
         args.alias("args"), F.lit("LOGIN").alias("action"), F.lit("CLIENT").alias("module"), F.when(F.col("event_type") == "error", "failed").alias("error"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("started_at"),
         F.timestamp_add("MILLISECOND", (F.col("event_id") % 1000).cast("int"), F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("ended_at"), "user_id", F.lit("POST").alias("method"),
         F.col("event_id").cast("string").alias("path"), F.lit(None).cast("string").alias("ip"), F.lit(None).cast("string").alias("user_agent"),
     )
-    return activity.audit_rows(calls).select(F.col("path").cast("long").alias("event_id"), "username", "params", "status", "error_msg", "duration_ms")
 
 
 @query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders UNION ALL SELECT -o_orderkey, CAST(o_orderdate AS DATE) FROM orders")

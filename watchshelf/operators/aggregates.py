@@ -54,10 +54,10 @@ def sum_if(condition: Column) -> Column:
 
 
 def log_statistics(df: DataFrame) -> DataFrame:
-    """total, success_count, failed_count and avg_duration_ms (a double; 0 without rows) of log rows."""
+    """total, success_count, failed_count and avg_duration_ms (a double; 0 without rows) of log rows. Cast, since some databases that get the aggregate average whole numbers to a whole number."""
     return df.agg(
         F.count("*").alias("total"), sum_if(F.col("status") == 0).alias("success_count"), sum_if(F.col("status") == 1).alias("failed_count"),
-        F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("avg_duration_ms"),
+        F.coalesce(F.avg(F.col("duration_ms").cast("double")), F.lit(0.0)).alias("avg_duration_ms"),
     )
 
 

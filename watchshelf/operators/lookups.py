@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A list of up to so many keys is broadcast.
+LISTED = 100_000
+
 
 def all_of(links: DataFrame, key: str, value: str, wanted: list[str]) -> DataFrame:
     """The keys that are linked to every wanted value; a value asked for twice counts once."""
@@ -16,7 +19,7 @@ def in_given_order(df: DataFrame, key: str, ids: list, numbered: bool = False) -
     """The rows with these keys in the order of the list (the first place of a repeated one); misses are dropped. numbered: with the place in the list as position."""
     kind = df.schema[key].dataType.simpleString()
     wanted = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"{key} {kind}, position int")
-    found = df.join(F.broadcast(wanted), key).orderBy("position")
+    found = df.join(F.broadcast(wanted) if len(ids) <= LISTED else wanted, key).orderBy("position")
     return found if numbered else found.drop("position")
 
 

@@ -20,14 +20,15 @@ def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("__row")).select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in rows.columns])
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = (), partial: bool = False) -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], keep: tuple[str, ...] = (), partial: bool = False, unique: bool = False) -> DataFrame:
     """base with changes put in by key: new keys are added, known ones take the changes' columns, nulls included.
 
     keep: columns that keep the base's value where there is one (created_at). partial: null means unchanged.
-    Columns that changes lacks stay. Of changes that share a key the largest row counts, columns compared from the left.
+    Columns that changes lacks stay. Of changes that share a key the largest row counts, columns compared from the left;
+    unique says that none do, which saves looking for them.
     """
     supplied = [c for c in changes.columns if c not in keys]
-    new = one_each(changes, keys).withColumnsRenamed({c: f"__{c}" for c in supplied}).withColumn("__new", F.lit(True))
+    new = (changes if unique else one_each(changes, keys)).withColumnsRenamed({c: f"__{c}" for c in supplied}).withColumn("__new", F.lit(True))
     joined = base.withColumn("__old", F.lit(True)).join(new, keys, "full")
 
     def merged(c: str) -> Column:

@@ -19,6 +19,14 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, bounds: tuple
     return reader.options(**options).load()
 
 
+def jdbc_catalog(spark: SparkSession, name: str, url: str, **options: str) -> None:
+    """Makes a database's tables known as name.schema.table. Filters, aggregates, groups, limits, sorted limits and offsets over them run in the database where its dialect has them, so a page or a dashboard fetches its own rows only; whole tables are read faster by jdbc_table."""
+    at = f"spark.sql.catalog.{name}"
+    spark.conf.set(at, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
+    for key, value in {"url": url, "pushDownAggregate": "true", "pushDownLimit": "true", "pushDownOffset": "true", **options}.items():
+        spark.conf.set(f"{at}.{key}", value)
+
+
 def landed(spark: SparkSession, path: str, feed: str) -> DataFrame:
     """A feed's landed JSON under its fixed schema (no inference pass; broken records are null columns)."""
     return spark.read.schema(FEEDS[feed]).json(path)
@@ -37,10 +45,12 @@ def landed_search(spark: SparkSession, path: str) -> DataFrame:
 
 
 def landed_calendar(spark: SparkSession, path: str) -> DataFrame:
-    """day, place and id of the weekly calendar: one JSON array for each file, whose order is that of the days."""
-    weeks = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{FEEDS['calendar'].replace(' ', ':', 1)}>>").alias("days"))
-    days = weeks.select(F.posexplode("days").alias("day", "items"))
-    return days.select("day", F.posexplode("items.items").alias("place", "item")).select("day", "place", F.col("item.id").alias("bangumi_id"))
+    """day, place and id of weekly calendars: one JSON array for each file, whose order is that of the days; with the station that folders are partitioned by, if any."""
+    files = spark.read.text(path, wholetext=True)
+    by = [c for c in ("station",) if c in files.columns]
+    weeks = files.select(*by, F.from_json("value", f"array<struct<{FEEDS['calendar'].replace(' ', ':', 1)}>>").alias("days"))
+    days = weeks.select(*by, F.posexplode("days").alias("day", "items"))
+    return days.select(*by, "day", F.posexplode("items.items").alias("place", "item")).select(*by, "day", "place", F.col("item.id").alias("bangumi_id"))
 
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
