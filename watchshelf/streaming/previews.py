@@ -82,7 +82,8 @@ class Previews(StatefulProcessor):
 def previewed(events: DataFrame, seconds: int = 600, late: str = "1 minute", live: bool = False) -> DataFrame:
     """Each event of a stream with the status after it; start the stream inside rocks().
 
-    live: lives are measured by the clock, not by ts; else events later than the watermark are left out.
+    live: lives are measured by the clock, not by ts, and the stream goes on until it is stopped, even with a trigger
+    that takes what is there; else events later than the watermark are left out.
     """
     rows = events.select(F.col("key").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "op", "value").filter("key IS NOT NULL")
     rows = rows if live else rows.withWatermark("ts", late)
