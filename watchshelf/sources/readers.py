@@ -19,11 +19,15 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, bounds: tuple
     return reader.options(**options).load()
 
 
+#: Databases whose dialects write limits. For others Spark takes a pushed limit for done although the query it sends has none.
+LIMITING = ("mysql", "postgresql", "h2", "sqlserver", "oracle", "db2", "databricks", "snowflake")
+
+
 def jdbc_catalog(spark: SparkSession, name: str, url: str, **options: str) -> None:
-    """Makes a database's tables known as name.schema.table. Filters, aggregates, groups, limits, sorted limits and offsets over them run in the database where its dialect has them, so a page or a dashboard fetches its own rows only; whole tables are read faster by jdbc_table."""
-    at = f"spark.sql.catalog.{name}"
+    """Makes a database's tables known as name.schema.table. Filters, groups, aggregates and, where its dialect has them, sorted limits and offsets over them run in the database, so a page or a dashboard fetches its own rows only; whole tables are read faster by jdbc_table."""
+    at, limits = f"spark.sql.catalog.{name}", str(url.split(":")[1] in LIMITING).lower()
     spark.conf.set(at, "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog")
-    for key, value in {"url": url, "pushDownAggregate": "true", "pushDownLimit": "true", "pushDownOffset": "true", **options}.items():
+    for key, value in {"url": url, "pushDownAggregate": "true", "pushDownLimit": limits, "pushDownOffset": limits, **options}.items():
         spark.conf.set(f"{at}.{key}", value)
 
 
