@@ -8,7 +8,8 @@ compared word by word, so that a collision of hashes never counts.
 Defined results: null text has no words; items without words match nothing; an item that comes twice counts
 once for each distinct item_id, and items whose id is null count as one together; rows that repeat doc_id and text each
 get the same result; a null doc_id is a key like others; with an empty benchmark nothing is hit; the work for a very
-long text grows in proportion to its words; an empty table gives an empty result. Only DataFrame functions are used.
+long text grows in proportion to its words; an empty table gives an empty result. Other columns are
+carried along in one struct, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ Defined results: null text is empty; an empty text has no tokens and its posteri
 one row of work, linear in its words; labelled rows without a domain, or with one that has no target, are ignored;
 targets of domains without any labelled row are left out and the others scaled up; without any labelled row
 posteriors are the targets' shares and all rates are 1 (or `least` where that is more); repeated rows are rows of their
-own, scored alike; null keys are scored like others; an empty table gives an empty result. Only DataFrame functions
-are used.
+own, scored alike; null keys are scored like others; an empty table gives an empty result. Other columns than key, text
+and domain are not read, or carried along in one struct, whatever their names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
