@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import filters, ledger, limits, merge, ordered, paging
-from .plans import activity, collections
+from .functions.collation import binary, ignoring_case
+from .operators import filters, keywords, ledger, limits, merge, ordered, paging
+from .plans import activity, catalog, collections
 from .registry import Tables, query
 from .sources.scratch import fresh_path, written
 from .streaming import counters, keyed, previews
@@ -224,3 +225,50 @@ def preview_executions(t: Tables) -> DataFrame:
 def executed_progress(t: Tables) -> DataFrame:
     """Progress after both calls: what has been replayed is written once."""
     return _executed(t)[1].base.select("user_id", "subject_id", "ep_status")
+
+
+# Names that differ in case only: F6, F14, A14, D2, X6 as the catalog's database compares them
+
+SPELT = "CASE id % 3 WHEN 0 THEN upper({0}) WHEN 1 THEN lower({0}) ELSE {0} END"
+
+
+def _spelt(t: Tables, name: str, column: str) -> DataFrame:
+    """A view in which a column's case changes from row to row."""
+    return ignoring_case(getattr(t, name).withColumn(column, F.expr(SPELT.format(column))), column)
+
+
+@query("SELECT lower(nickname) AS name, count(*) AS count, count(DISTINCT id) AS n FROM account GROUP BY 1")
+def tag_counts_any_case(t: Tables) -> DataFrame:
+    """Groups of names without regard to case."""
+    own = _spelt(t, "account", "nickname")
+    counts = catalog.tags(own.select("id", F.col("nickname").alias("name"))).drop("id")
+    ids = own.groupBy(F.col("nickname").alias("name")).agg(F.count_distinct("id").alias("n"))
+    return binary(counts.join(ids, "name")).select(F.lower("name").alias("name"), "count", "n")
+
+
+@query(f"""SELECT id, {SPELT.format('username')} AS username FROM account WHERE lower(username) = 'customer#000000009' OR lower(username) LIKE '%00001_'""")
+def account_any_case(t: Tables) -> DataFrame:
+    """Equality and a pattern, neither in the case of the names."""
+    own = _spelt(t, "account", "username")
+    return binary(own.filter((F.col("username") == "CUSTOMER#000000009") | F.col("username").like("%00001_")).select("id", "username"))
+
+
+@query("SELECT count(DISTINCT lower(nickname)) AS n_names FROM account")
+def distinct_any_case(t: Tables) -> DataFrame:
+    return _spelt(t, "account", "nickname").select("nickname").distinct().agg(F.count("*").alias("n_names"))
+
+
+@query("SELECT a.id, count(*) AS n FROM account a JOIN account b ON a.nickname = b.nickname AND b.id % 50 = 0 GROUP BY a.id")
+def joined_any_case(t: Tables) -> DataFrame:
+    """A join of names spelt differently on its sides; the other side is counted first."""
+    own = _spelt(t, "account", "nickname").select("id", "nickname")
+    other = ignoring_case(t.account.filter("id % 50 = 0").select(F.initcap("nickname").alias("nickname"))).groupBy("nickname").agg(F.count("*").alias("n"))
+    return own.join(other, "nickname").select("id", "n")
+
+
+@query("SELECT id, name, 'ring' AS keyword FROM subject WHERE lower(name) LIKE '%ring%' UNION ALL SELECT id, name, 'BOLT' FROM subject WHERE lower(name) LIKE '%bolt%' UNION ALL SELECT id, name, 'o' FROM subject WHERE lower(name) LIKE '%o%'")
+def search_indexed(t: Tables) -> DataFrame:
+    """Keywords by an index over all names; the last is too short for it."""
+    index = keywords.KeywordIndex(t.subject.select("id", "name"), "id", "name")
+    found = [index.search(k).withColumn("keyword", F.lit(k)) for k in ("ring", "BOLT", "o")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
