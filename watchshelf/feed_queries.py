@@ -87,19 +87,25 @@ def feed_calendar(t: Tables) -> DataFrame:
     return readers.landed_calendar(t.spark, path)
 
 
-def _relations(t: Tables) -> tuple[DataFrame, DataFrame]:
+REPLACED = """SELECT subject_id, related_subject_id, relation FROM subject_relation WHERE subject_id % 3 <> 0
+    UNION ALL SELECT related_subject_id, subject_id, CASE relation WHEN 'prequel' THEN 'sequel' WHEN 'spin_off' THEN 'parent_story' WHEN 'side_story' THEN 'parent_story' ELSE relation END FROM subject_relation WHERE subject_id % 3 <> 0
+    UNION ALL SELECT subject_id, related_subject_id, 'prequel' FROM subject_relation WHERE subject_id % 6 = 0 AND subject_id % 5 <> 1
+    UNION ALL SELECT related_subject_id, subject_id, 'sequel' FROM subject_relation WHERE subject_id % 6 = 0 AND subject_id % 5 <> 1"""
+
+
+def relation_feed(t: Tables) -> DataFrame:
     """Feed rows about every third subject: every fifth of another type, odd ones about subjects that aren't there."""
     rows = t.spark.sql("""SELECT CAST(n_nationkey AS BIGINT) AS subject_id, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey + 107 ELSE 100000000 + n_nationkey END AS id, CASE WHEN n_nationkey % 5 = 1 THEN 1 ELSE 2 END AS type,
         'prequel' AS relation FROM {nation} WHERE n_nationkey % 3 = 0""", nation=t.raw("nation"))
-    landed = t.spark.read.schema("subject_id bigint, id int, type int, relation string").json(_land(t, "relation", rows))
+    return t.spark.read.schema("subject_id bigint, id int, type int, relation string").json(_land(t, "relation", rows))
+
+
+def _relations(t: Tables) -> tuple[DataFrame, DataFrame]:
     base = lookups.both_ways(t.subject_relation, "subject_id", "related_subject_id", "relation", values.inverse_relation)
-    return ingestion.merged_relations(base, landed, t.subject.select("id", (F.col("bangumi_id") + 7).cast("int").alias("bangumi_id")))
+    return ingestion.merged_relations(base, relation_feed(t), t.subject.select("id", (F.col("bangumi_id") + 7).cast("int").alias("bangumi_id")))
 
 
-@query("""SELECT subject_id, related_subject_id, relation FROM subject_relation WHERE subject_id % 3 <> 0
-    UNION ALL SELECT related_subject_id, subject_id, CASE relation WHEN 'prequel' THEN 'sequel' WHEN 'spin_off' THEN 'parent_story' WHEN 'side_story' THEN 'parent_story' ELSE relation END FROM subject_relation WHERE subject_id % 3 <> 0
-    UNION ALL SELECT subject_id, related_subject_id, 'prequel' FROM subject_relation WHERE subject_id % 6 = 0 AND subject_id % 5 <> 1
-    UNION ALL SELECT related_subject_id, subject_id, 'sequel' FROM subject_relation WHERE subject_id % 6 = 0 AND subject_id % 5 <> 1""")
+@query(REPLACED)
 def replaced_relations(t: Tables) -> DataFrame:
     return _relations(t)[0]
 

@@ -441,4 +441,4 @@ def alive_snapshots(t: Tables) -> DataFrame:
     return keyed.latest_alive(rows, "user_id", as_of).select("user_id", "snapshot.created_at")
 
 
-from . import feed_queries, state_queries  # noqa: E402, F401  these register theirs
+from . import feed_queries, layout_queries, state_queries  # noqa: E402, F401  these register theirs
