@@ -109,6 +109,23 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.frombuffer(whole, ">u8").astype(np.uint64).reshape(-1, 3)
 
 
+def _shrunk(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _grown(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _spans(found: list[tuple]) -> bytes:
+    """Text, first and last string of each piece, column by column."""
+    return _shrunk(np.array([x[:3] for x in found], "<i4").reshape(-1, 3).T.tobytes())
+
+
+def _read_spans(data: bytes) -> np.ndarray:
+    return np.frombuffer(_grown(data), "<i4").reshape(3, -1).astype(np.int64)
+
+
 def in_order(keys: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
     """The order of rows of keys: by one number (first, or their first eight bytes), then where that is equal by all bytes."""
     lead = keys[:, 0] if first is None else first
@@ -393,15 +410,22 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
     def send(slot: pa.Table, marked: pa.Table) -> pa.Table:
         keys, texts, _ = _sorted_texts(slot)
         found = Candidates(keys, texts, Runs(texts, length, parts), dict(zip(marked.column("part").to_pylist(), marked.column("bits").to_pylist(), strict=True)), length, parts)
-        rows = [(p, np.array([keys[i] for i, *_ in x], np.int64).tobytes(), np.array([len(s) for *_, s in x], np.int64).tobytes(), b"".join(s for *_, s in x)) for p, x in found.sent.items()]
-        part, owner, sizes, strings = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return _message(slot=[slot.column("slot")[0].as_py() if slot.num_rows else None] * len(rows), part=part, owner=owner, sizes=sizes, strings=strings)
+        own = slot.column("slot")[0].as_py() if slot.num_rows else None
+        rows = [(p, _shrunk(np.array([keys[i] for i, *_ in x], np.int64).tobytes()), _spans(x), _shrunk(b"".join(s for *_, s in x))) for p, x in found.sent.items()]
+        if found.settled:
+            rows.append((-1 - own, b"", _spans(found.settled), b""))  # a group of its own, which is passed on
+        part, owner, spans, strings = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return _message(slot=[own] * len(rows), part=part, owner=owner, spans=spans, strings=strings)
 
     def settle(part: pa.Table) -> pa.Table:
         part = part.sort_by("slot")
-        hashes, owner, counts, at, size_before = [], [], [], [], 0
-        for own, sizes, strings in zip(*(part.column(c).to_pylist() for c in ("owner", "sizes", "strings")), strict=True):
-            size = np.frombuffer(sizes, np.int64)
+        if part.column("part")[0].as_py() < 0:
+            return _message(slot=part.column("slot").to_pylist(), part=part.column("part").to_pylist(), spans=part.column("spans").to_pylist(), bits=[b""] * part.num_rows)
+        hashes, owner, counts, at, texts, size_before = [], [], [], [], [], 0
+        for own, spans, strings in zip(*(part.column(c).to_pylist() for c in ("owner", "spans", "strings")), strict=True):
+            _, first, last = _read_spans(spans)
+            size, own, strings = last - first + length, _grown(own), _grown(strings)
+            texts.append(strings)
             place, mixed = _places(size, length), _mixed(strings + bytes(8))
             hashes.append(_hashed(mixed, place, length, 1))
             owner.append(np.repeat(np.frombuffer(own, np.int64), size - length + 1))
@@ -417,31 +441,29 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
         least = np.minimum.reduceat(owner[order], starts)
         later = np.empty(len(order), bool)
         later[order] = least[group] < owner[order]
-        whole = b"".join(part.column("strings").to_pylist())
-        confirm(whole, np.concatenate(at)[order], starts, group, owner[order], later, order, length)
+        confirm(b"".join(texts), np.concatenate(at)[order], starts, group, owner[order], later, order, length)
         cuts = np.cumsum([0, *counts])
-        return _message(slot=part.column("slot").to_pylist(), part=part.column("part").to_pylist(), bits=[_packed(later[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        return _message(slot=part.column("slot").to_pylist(), part=part.column("part").to_pylist(), spans=part.column("spans").to_pylist(), bits=[_packed(later[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
-    asked = rows.groupBy("slot").cogroup(marks.groupBy("slot")).applyInArrow(send, "slot long, part long, owner binary, sizes binary, strings binary")
-    answers = ws.save(asked.groupBy("part").applyInArrow(settle, "slot long, part long, bits binary"), "answers")
-    both = marks.select("slot", "part", "bits", F.lit("marks").alias("kind")).unionAll(answers.select("slot", "part", "bits", F.lit("answers").alias("kind")))
+    asked = rows.groupBy("slot").cogroup(marks.groupBy("slot")).applyInArrow(send, "slot long, part long, owner binary, spans binary, strings binary")
+    answers = ws.save(asked.groupBy("part").applyInArrow(settle, "slot long, part long, spans binary, bits binary"), "answers")
 
     def finish(slot: pa.Table, said: pa.Table) -> pa.Table:
-        keys, texts, own = _sorted_texts(slot)
-        marked, answered = {}, {}
-        for part, bits, kind in zip(*(said.column(c).to_pylist() for c in ("part", "bits", "kind")), strict=True):
-            (marked if kind == "marks" else answered)[part] = bits
-        found = Candidates(keys, texts, Runs(texts, length, parts), marked, length, parts)
+        _, texts, own = _sorted_texts(slot)
         size = np.array([len(t) for t in texts], np.int64)
         offset = np.cumsum(size) - size
         gone = np.zeros(int(size.sum()) + 1, bool)  # of string starts
-        for i, first, last in found.settled:
-            gone[offset[i] + first : offset[i] + last + 1] = True
-        for part, sent in found.sent.items():
-            bits, at = _bits(answered[part], sum(last - first + 1 for _, first, last, _ in sent)), 0
-            for i, first, last, _ in sent:
-                gone[offset[i] + first : offset[i] + last + 1] = bits[at : at + last - first + 1]
-                at += last - first + 1
+        for part, spans, answered in zip(*(said.column(c).to_pylist() for c in ("part", "spans", "bits")), strict=True):
+            text, first, last = _read_spans(spans)
+            first, last = (offset[text] + first).tolist(), (offset[text] + last).tolist()
+            if part < 0:  # other strings of the slot have settled them
+                for a, b in zip(first, last, strict=True):
+                    gone[a : b + 1] = True
+                continue
+            bits, at = _bits(answered, sum(last) - sum(first) + len(first)), 0
+            for a, b in zip(first, last, strict=True):
+                gone[a : b + 1] |= bits[at : at + b - a + 1]
+                at += b - a + 1
         count = np.cumsum(gone, dtype=np.int32)
         covered = count > 0
         covered[length:] = count[length:] > count[:-length]
@@ -454,7 +476,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
         k, n, r, s, kept = zip(*out, strict=True) if out else ((), (), (), (), ())
         return pa.table({"k": pa.array(k, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return rows.groupBy("slot").cogroup(both.groupBy("slot")).applyInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(finish, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
