@@ -91,3 +91,27 @@ def test_near_copies_of_one_text_that_are_unlike_each_other(spark, monkeypatch):
         least.setdefault(found[k], k)
     assert {k: least[g] for k, g in found.items()} == brute_groups(docs)
     assert left and left[-1] <= 2 * 120 * 50  # what is left is in proportion to the entries
+
+
+def families(rng):
+    texts = []
+    for base in range(10):
+        words = [f"w{base}x{i}" for i in range(rng.choice((12, 40, 150)))]
+        texts += [" ".join(edited(rng, words, n)) for n in (0, 1, 1, 2, 3, 4)]
+    return dict(enumerate(texts))
+
+
+def least_of(found):
+    least = {}
+    for k in sorted(found):
+        least.setdefault(found[k], k)
+    return {k: least[g] for k, g in found.items()}
+
+
+def test_shuffles_go_in_slices(spark, monkeypatch):
+    docs, saved, save = families(random.Random(13)), [], similar.Workspace.save
+    monkeypatch.setattr(similar.Workspace, "save", lambda self, df, name, by=None: saved.append(name) or save(self, df, name, by))
+    monkeypatch.setattr(similar, "ROOM_BYTES", 12_000)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert least_of({r.k: r.root for r in similar.groups(df).collect()}) == brute_groups(docs)
+    assert {"met/slice1", "first-sets/slice1", "first-pairs/slice1", "first-links/slice1"} <= set(saved)

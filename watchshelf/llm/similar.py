@@ -15,6 +15,9 @@ leaves clearly fewer, further passes compare them with other representatives, so
 pair, not even those that are like some of their group and unlike others. Then the remaining pairs of different
 components are compared, so what is connected in the end is what all pairs would connect.
 
+What is shuffled goes in slices, one after the other: members by their hash, texts by theirs, pairs by their larger set, in as
+many slices as their bytes ask for. So disk holds the prefixes and one slice, however much faster than the texts the pairs grow.
+
 Defined results: words are parted at ASCII blanks, A-Z lower-cased; texts of fewer words than a shingle are one shingle;
 null and wordless texts are alike; a row without a key goes where a row with one is alike, repeated rows are kept; an
 empty table gives an empty result. Other columns are carried along in one struct, whatever their names.
@@ -23,12 +26,13 @@ empty table gives an empty result. Other columns are carried along in one struct
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, per_batch, same
@@ -37,15 +41,25 @@ from .components import components
 #: The sample for the order of members, and how many common ones it may name; neither changes a result.
 SAMPLE, COMMON = 5_000, 100_000
 REPRESENTATIVES = 4
+#: How many common members a pair must have to be looked at, where their number of members leaves that open.
+AT_LEAST = 3
+#: Entries and texts are shuffled in so many slices at most, and pairs in as many as keep a slice to this part of the bytes of all sets; ROOM_BYTES are one slice.
+SLICES, ROOM, ROOM_BYTES = 4, 0.2, 64_000_000
+#: Bytes of a pair while it is counted.
+PAIR_BYTES = 24
 #: Pairs of different components in all groups, for each entry of a group, that are compared without another pass.
 PAIRS_AT_ONCE = 2
 
 
-def shingles(data: bytes, size: int) -> np.ndarray:
-    """The sorted hashes of all runs of that many words."""
+def runs(data: bytes, size: int) -> np.ndarray:
+    """The hashes of all runs of that many words, repeats included."""
     words = data.lower().split()
-    runs = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1) if words else 0)), np.uint64)
+
+
+def shingles(data: bytes, size: int) -> np.ndarray:
+    """The sorted distinct ones."""
+    return np.unique(runs(data, size))
 
 
 def prefix(members: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -82,9 +96,9 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return members[order], count[order]
 
 
-def _indexed(similarity: float):
-    """Whether an entry may be what a set shares with one of at least its own size."""
-    return F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6
+def _indexed(similarity: float, which: int = 1):
+    """Whether an entry may be one of the first so many that a set shares with one of at least its own size."""
+    return F.col("n") - F.col("pos") >= F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6 - (which - 1)
 
 
 def _crossing(entry: DataFrame, similarity: float) -> int:
@@ -97,6 +111,16 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, links)
 
 
+def _sliced(ws: Workspace, name: str, slices: int, make: Callable[[int], DataFrame]) -> DataFrame:
+    """All that make returns for the slices, saved one after the other, so that only one slice's shuffle files exist at a time."""
+    return _all([ws.save(make(i), f"{name}/slice{i}") for i in range(slices)])
+
+
+def _in(column: str, slices: int, i: int) -> Column:
+    """Whether a row is in that slice of them."""
+    return F.pmod(F.xxhash64(F.lit("slice"), column), F.lit(slices)) == i
+
+
 def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """k, t (a hash of the text) and root, one number for all that links of that similarity connect, for each row of docs."""
     ws = Workspace(docs.sparkSession, "similar")
@@ -104,42 +128,61 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
     common, rank = _common(texts, size)
 
     def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x or b"", size) for x in batch.column("data").to_pylist()]
+        hashes = [runs(x or b"", size) for x in batch.column("data").to_pylist()]
+        sets = [np.unique(x) for x in hashes]
         node = pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).to_numpy().view(np.int64)
         heads = pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "n": pa.array([len(x) for x in sets], pa.int64()), "head": heads})
-
-    rows = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, n long, head array<long>"), "rows")
-    nodes = ws.save(rows.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
-    entries = nodes.select("node", "n", F.posexplode("head").alias("pos", "s"))
+        n = pa.array([len(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "n": n, "head": heads})
+
+    read = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, n long, head array<long>"), "read")
+    nodes = ws.save(read.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
+    rows = ws.save(read.select("k", "t", "node"), "rows")
+    ws.drop("read")
+    all_sets = 8 * (nodes.agg(F.sum("n")).first()[0] or 0)
+    room, even = max(ROOM_BYTES, ROOM * all_sets), max(1, min(SLICES, math.ceil(all_sets / ROOM_BYTES)))
     least = F.min_by(F.struct("node", "n", "pos"), F.struct("pos", F.xxhash64("node")))
-    shared = entries.groupBy("s").agg(F.count("*").alias("many"), least.alias("rep")).filter("many > 1").select("s", "rep")
-    met = ws.save(entries.join(shared, "s"), "met")
+
+    def shared(i: int) -> DataFrame:
+        entries = nodes.select("node", "n", F.posexplode("head").alias("pos", "s")).filter(_in("s", even, i))
+        return entries.join(entries.groupBy("s").agg(F.count("*").alias("many"), least.alias("rep")).filter("many > 1").select("s", "rep"), "s")
+
+    met = _sliced(ws, "met", even, shared)
     # what the sets of a pair must share, and whether a member that they share comes early enough in both
     overlap = (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
     early = (F.col("n") - F.col("pos") >= overlap) & (F.col("n2") - F.col("pos2") >= overlap)
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """a, b: those of early pairs whose prefixes share as much as those of alike ones must.
+    def possible(both: DataFrame, name: str) -> DataFrame:
+        """Those of the distinct pairs (a, b) whose prefixes share as much as those of alike ones must.
 
         Of two prefixes, the one that ends first in the order lacks at most n - overlap of its members in the other.
         """
-        both = pairs.select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
         own = lambda a, n, head: nodes.select(F.col("node").alias(a), F.col("n").alias(n), F.col("head").alias(head))
-        with_heads = both.join(own("a", "n", "head"), "a").join(own("b", "n2", "head2"), "b")
         enough = F.least(F.size("head") - F.col("n"), F.size("head2") - F.col("n2")) + overlap
-        return with_heads.filter(F.size(F.array_intersect("head", "head2")) >= enough).select("a", "b")
+        slices = math.ceil((both.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.sum(F.col("n") * (8 * (1 - similarity)) + PAIR_BYTES)).first()[0] or 1) / room)
+
+        def enough_shared(i: int) -> DataFrame:
+            with_heads = both.filter(_in("a", slices, i)).join(own("a", "n", "head").filter(_in("a", slices, i)), "a").join(own("b", "n2", "head2"), "b")
+            return with_heads.filter(F.size(F.array_intersect("head", "head2")) >= enough).select("a", "b")
+
+        found = _sliced(ws, f"{name}-pairs", slices, enough_shared)
+        ws.drop(f"{name}-both")
+        return found
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are alike."""
-        pairs = ws.save(pairs, f"{name}-pairs")
+    def links(both: DataFrame, name: str) -> DataFrame:
+        """Those of the distinct pairs (a, b), which are saved as name-both, that are alike."""
+        pairs = possible(both, name)
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "at.k", "at.t"), "node")
+        asked = ws.save(asked, f"{name}-asked")
 
         def members(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"node": batch.column("node"), "members": pa.array([shingles(x or b"", size).tobytes() for x in batch.column("data").to_pylist()], pa.binary())})
 
-        found = same(texts, asked, ["k", "t"], "inner").dropDuplicates(["node"]).select("node", "data")
-        sets = ws.save(found.mapInArrow(per_batch(members), "node long, members binary"), f"{name}-sets")
+        def sets_of(i: int) -> DataFrame:
+            found = same(texts.filter(_in("t", even, i)), asked.filter(_in("t", even, i)), ["k", "t"], "inner").dropDuplicates(["node"]).select("node", "data")
+            return found.mapInArrow(per_batch(members), "node long, members binary")
+
+        sets = _sliced(ws, f"{name}-sets", even, sets_of)
 
         def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
@@ -147,12 +190,22 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
             return batch.select(["a", "b"]).filter(yes)
 
         x, y = (sets.select(F.col("node").alias(c), F.col("members").alias(m)) for c, m in (("a", "x"), ("b", "y")))
-        linked = ws.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(per_batch(compared), "a long, b long"), f"{name}-links")
-        ws.drop(f"{name}-pairs", f"{name}-sets")
+        slices = math.ceil((pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.sum(F.col("n") * 8 + PAIR_BYTES)).first()[0] or 1) / room)
+
+        def alike_ones(i: int) -> DataFrame:
+            with_sets = pairs.filter(_in("a", slices, i)).join(x.filter(_in("a", slices, i)), "a").join(y, "b")
+            return with_sets.select("a", "b", "x", "y").mapInArrow(per_batch(compared), "a long, b long")
+
+        linked = _sliced(ws, f"{name}-links", slices, alike_ones)
+        ws.drop(f"{name}-pairs", f"{name}-asked", f"{name}-sets")
         return linked
 
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """Distinct, as a > b."""
+        return pairs.toDF("x", "y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
     stars = met.filter("node != rep.node").select("node", "n", "pos", *[F.col(f"rep.{c}").alias(f"{c}2") for c in ("node", "n", "pos")])
-    first = links(possible(stars.filter(early)), "first")
+    first = links(ws.save(ordered(stars.filter(early).select("node", "node2")), "first-both"), "first")
     roots = ws.save(components(first, ws), "first-roots")
     entry = ws.save(met.join(roots, "node", "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "entries0")
     ws.drop("met")
@@ -162,16 +215,27 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
         least = F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", F.pmod("s", F.lit(REPRESENTATIVES)), F.lit(k)))
         reps = entry.groupBy("s").agg(least.alias("rep"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("s", "rep")
         stars = entry.join(reps, "s").filter("root != rep.root").select("node", "n", "pos", *[F.col(f"rep.{c}").alias(f"{c}2") for c in ("node", "n", "pos")])
-        links_found.append(links(possible(stars.filter(early)), f"pass{k}"))
+        links_found.append(links(ws.save(ordered(stars.filter(early).select("node", "node2")), f"pass{k}-both"), f"pass{k}"))
         roots = ws.save(components(_all(links_found), Workspace(ws.spark, f"similar-pass{k}")), f"roots{k}")
         entry = ws.save(entry.drop("root").join(roots, "node", "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root")), f"entries{k}")
         ws.drop(f"entries{k - 1}")
         left, before = _crossing(entry, similarity), left
         if left > 0.7 * before:
             break
-    right = entry.filter(_indexed(similarity)).select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "root")])
-    crossing = entry.join(right, (entry["s"] == right["s"]) & (F.col("root") != F.col("root2")) & (F.struct("n", "node") > F.struct("n2", "node2")) & early)
-    second = links(possible(crossing.select("node", "node2")), "second")
+    right = entry.filter(_indexed(similarity, AT_LEAST)).select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "root")])
+    # of what a pair must share, the first members, as many as fit into both prefixes, AT_LEAST at most
+    need = F.greatest(F.lit(1), F.least(F.lit(AT_LEAST), F.ceil(overlap) - F.ceil(F.col("n") * similarity - 1e-9) + 1))
+    among_first = (F.col("n") - F.col("pos") >= overlap - need + 1) & (F.col("n2") - F.col("pos2") >= overlap - need + 1)
+    slices = math.ceil((left + 1) * PAIR_BYTES / room)
+
+    def crossing(i: int) -> DataFrame:
+        larger = entry.filter(_in("node", slices, i))
+        rest = larger.join(right, (larger["s"] == right["s"]) & (F.col("root") != F.col("root2")) & (F.struct("n", "node") > F.struct("n2", "node2")) & among_first)
+        counted = rest.groupBy("node", "node2").agg(F.count("*").alias("c"), F.first(need).alias("need"))
+        return counted.filter("c >= need").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+    second = links(_sliced(ws, "second-both", slices, crossing), "second")
+    ws.drop("nodes")
     ws.drop(f"entries{k}")
     final = components(_all([*links_found, second]), Workspace(ws.spark, "similar-final"))
     return rows.select("k", "t", "node").join(final, "node", "left").select("k", "t", F.coalesce("root", "node").alias("root"))
