@@ -30,7 +30,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Keeps the smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    SimHash fingerprints are linked first and compared exactly; pairs that they miss are found by prefixes of the sets.
+    """
     return one_of_each(docs)
 
 

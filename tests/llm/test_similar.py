@@ -8,7 +8,7 @@ import random
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from watchshelf.llm import similar
+from watchshelf.llm import similar, simhash
 from watchshelf.llm.common import table
 
 from conftest import DATA
@@ -115,3 +115,16 @@ def test_shuffles_go_in_slices(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert least_of({r.k: r.root for r in similar.groups(df).collect()}) == brute_groups(docs)
     assert {"met/slice1", "first-sets/slice1", "first-pairs/slice1", "first-links/slice1"} <= set(saved)
+
+
+def test_fingerprints_of_the_numbered_operator_link_first(spark, monkeypatch):
+    docs, seen, links = families(random.Random(14)) | {900: "", 901: None, 902: "a b", 903: "A  b"}, {}, similar.near_links
+
+    def watched(prints, ws, *more):
+        seen.update((r.fp & (1 << 64) - 1, r.node) for r in prints.collect())
+        return links(prints, ws, *more)
+
+    monkeypatch.setattr(similar, "near_links", watched)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert least_of({r.k: r.root for r in similar.groups(df).collect()}) == brute_groups(docs)
+    assert set(seen) == {simhash.fingerprint((x or "").encode(), 5) for x in docs.values()}

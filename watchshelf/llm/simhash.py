@@ -39,6 +39,15 @@ BITS, SEED, CHUNK = 64, 42, 1 << 16
 LEVELS = 3
 
 
+def vote(hashes: np.ndarray) -> int:
+    """Bit by bit what over half of the hashes have, as an unsigned number; 0 without hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        part = hashes[k : k + CHUNK].astype("<u8", copy=False)
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(data: bytes, size: int = 3) -> int:
     """The vote of all shingles of that many words, as an unsigned number."""
     words = data.lower().split()  # of bytes: A-Z only, and only the six ASCII blanks part words
@@ -48,11 +57,7 @@ def fingerprint(data: bytes, size: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = list(zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)) if len(words) >= size else [(0, len(joined))]
-    votes = np.zeros(BITS, np.int64)
-    for k in range(0, len(spans), CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans[k : k + CHUNK]], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(spans), bitorder="little").tobytes(), "little")
+    return vote(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(spans)))
 
 
 def _prints(batch: pa.RecordBatch) -> pa.RecordBatch:

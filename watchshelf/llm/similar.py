@@ -8,7 +8,9 @@ of them, they share from the first n - o + 1 and m - o + 1 on; so of two sets th
 its members, and pairs whose shared member comes too late are never made. Pairs that are left must share enough of
 their whole prefixes.
 
-Texts of equal sets are one node. In each prefix member's group all nodes are first compared with a representative, the
+Texts of equal sets are one node. First come the links that op3's operator finds among the texts' fingerprints (SimHash on
+these shingles, three bits, covering masks), compared exactly; they tie most copies together. Fingerprints of sets that are
+just alike enough differ in about ten bits, so the prefixes then find the rest. In each prefix member's group all nodes are first compared with a representative, the
 one that has the member earliest: an original, which edits have not given rare members, comes before its copies. What
 is alike is joined into components. While groups still hold many pairs of different components, and each pass
 leaves clearly fewer, further passes compare them with other representatives, so that near copies hardly ever meet pair by
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, per_batch, same
 from .components import components
+from .simhash import SEED, near_links, vote
 
 #: The sample for the order of members, and how many common ones it may name; neither changes a result.
 SAMPLE, COMMON = 5_000, 100_000
@@ -52,9 +55,9 @@ PAIRS_AT_ONCE = 2
 
 
 def runs(data: bytes, size: int) -> np.ndarray:
-    """The hashes of all runs of that many words, repeats included."""
+    """The hashes of all runs of that many words, repeats included; their vote is the fingerprint of simhash.py."""
     words = data.lower().split()
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1) if words else 0)), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1) if words else 0)), np.uint64)
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -131,12 +134,13 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
         hashes = [runs(x or b"", size) for x in batch.column("data").to_pylist()]
         sets = [np.unique(x) for x in hashes]
         node = pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).to_numpy().view(np.int64)
+        prints = pa.array([vote(x) for x in hashes], pa.uint64()).to_numpy().view(np.int64)
         heads = pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))
         n = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "n": n, "head": heads})
+        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "fp": pa.array(prints), "n": n, "head": heads})
 
-    read = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, n long, head array<long>"), "read")
-    nodes = ws.save(read.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
+    read = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, fp long, n long, head array<long>"), "read")
+    nodes = ws.save(read.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
     rows = ws.save(read.select("k", "t", "node"), "rows")
     ws.drop("read")
     all_sets = 8 * (nodes.agg(F.sum("n")).first()[0] or 0)
@@ -200,12 +204,18 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
         ws.drop(f"{name}-pairs", f"{name}-asked", f"{name}-sets")
         return linked
 
+    def by_prints() -> DataFrame:
+        """Pairs of nodes whose fingerprints are within three bits: links that connect all such fingerprints, and each node with the one that stands for its own."""
+        prints = ws.save(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+        near = near_links(prints.select("fp", F.col("rep").alias("node")), Workspace(ws.spark, "similar-prints"))
+        return near.unionAll(nodes.join(prints, "fp").filter("node != rep").select("node", "rep"))
+
     def ordered(pairs: DataFrame) -> DataFrame:
         """Distinct, as a > b."""
         return pairs.toDF("x", "y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
     stars = met.filter("node != rep.node").select("node", "n", "pos", *[F.col(f"rep.{c}").alias(f"{c}2") for c in ("node", "n", "pos")])
-    first = links(ws.save(ordered(stars.filter(early).select("node", "node2")), "first-both"), "first")
+    first = links(ws.save(ordered(by_prints().unionAll(stars.filter(early).select("node", "node2"))), "first-both"), "first")
     roots = ws.save(components(first, ws), "first-roots")
     entry = ws.save(met.join(roots, "node", "left").select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "entries0")
     ws.drop("met")
