@@ -36,6 +36,8 @@ from .common import Workspace, table
 
 PREFIX = 24
 SLOT_BYTES, PART_BYTES, CHUNK = 5_000_000, 3_000_000, 1_000_000
+#: Parts are indexed in so many ranges, one after the other, so that disk holds the levels and shuffle files of one.
+RANGES = 2
 #: From so many different surroundings on a beginning's strings are dealt one by one.
 HOT = 1000
 LAST = (1 << 63) - 1
@@ -384,11 +386,6 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
         )
 
     sampled = ws.save(rows.groupBy("slot").applyInArrow(arrays, "slot long, part long, keys binary, shared binary, kinds binary"), "arrays")
-    index, hits = SuffixIndex(ws), []
-    for i in range(batches):
-        hits.append(index.add(sampled.filter((F.col("slot") >= i * each) & (F.col("slot") < (i + 1) * each)), more=i + 1 < batches))
-    beginnings = reduce(DataFrame.unionAll, hits)
-
     def mark(asked: pa.Table, found: pa.Table) -> pa.Table:
         known = distinct_keys(np.concatenate([NONE, *(unpacked_keys(x) for x in found.column("keys").to_pylist())]))
         arrays = [unpacked_keys(x) for x in asked.column("keys").to_pylist()]
@@ -404,8 +401,20 @@ def suffix_dedup(docs: DataFrame, length: int = 50, batches: int = 8, slot_bytes
         bits = [_packed(np.concatenate([hits[a:b], many[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return _message(slot=asked.column("slot").to_pylist(), part=asked.column("part").to_pylist(), bits=bits)
 
-    marks = ws.save(sampled.select("slot", "part", "keys", "kinds").groupBy("part").cogroup(beginnings.groupBy("part")).applyInArrow(mark, "slot long, part long, bits binary"), "marks")
-    ws.drop("arrays", *(f"step{i}" for i in range(batches)))
+    def marked(i: int) -> DataFrame:
+        """The marks of one range of parts, from an index of its own, whose tables then go."""
+        own = Workspace(spark, f"suffix-index{i}")
+        some = sampled.filter((F.col("part") >= (i * parts) // RANGES) & (F.col("part") < ((i + 1) * parts) // RANGES))
+        index, hits = SuffixIndex(own), []
+        for k in range(batches):
+            hits.append(index.add(some.filter((F.col("slot") >= k * each) & (F.col("slot") < (k + 1) * each)), more=k + 1 < batches))
+        found = reduce(DataFrame.unionAll, hits)
+        marks = ws.save(some.select("slot", "part", "keys", "kinds").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(mark, "slot long, part long, bits binary"), f"marks{i}")
+        own.drop()
+        return marks
+
+    marks = reduce(DataFrame.unionAll, [marked(i) for i in range(RANGES)])
+    ws.drop("arrays")
 
     def send(slot: pa.Table, marked: pa.Table) -> pa.Table:
         keys, texts, _ = _sorted_texts(slot)
