@@ -6,6 +6,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from watchshelf.llm import similar, simhash
@@ -128,3 +129,32 @@ def test_fingerprints_of_the_numbered_operator_link_first(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert least_of({r.k: r.root for r in similar.groups(df).collect()}) == brute_groups(docs)
     assert set(seen) == {simhash.fingerprint((x or "").encode(), 5) for x in docs.values()}
+
+
+def test_sketches_differ_in_at_most_the_members_that_two_sets_do_not_share():
+    rng = np.random.default_rng(15)
+    for n, m in ((0, 0), (0, 3), (1, 1), (40, 33), (500, 450), (500, 90), (3000, 3000)):
+        for shared in {0, min(n, m) // 2, min(n, m)}:
+            members = np.unique(rng.integers(0, 1 << 64, n + m - shared, np.uint64))
+            rng.shuffle(members)
+            a, b = np.sort(members[:n]), np.sort(members[n - shared :])
+            assert similar.apart(similar.sketch(a), similar.sketch(b)) <= n + m - 2 * shared
+            assert similar.apart(similar.sketch(a), similar.sketch(a)) == 0
+
+
+def test_texts_whose_sketches_are_too_far_apart_are_not_read_again(spark, monkeypatch):
+    """Pairs of similarity 0.6 to 0.7 share enough of their prefixes, but none of them needs its whole sets."""
+    rng, asked, save = random.Random(16), [], similar.Workspace.save
+
+    def watched(self, df, name, by=None):
+        saved = save(self, df, name, by)
+        asked.extend(r.node for r in (saved.collect() if name.endswith("-asked") else []))
+        return saved
+
+    monkeypatch.setattr(similar.Workspace, "save", watched)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(edited(rng, words, 8)) for _ in range(12)]
+    docs = dict(enumerate([*texts, f"{texts[0]} and one more"]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert least_of({r.k: r.root for r in similar.groups(df).collect()}) == brute_groups(docs)
+    assert len(set(asked)) == 2

@@ -5,8 +5,11 @@ any order of all members that is the same for both. So texts are looked up by th
 compared exactly, set by set: no pair is left to chance. The order puts members that are common in a sample last, which
 keeps hot members out of the prefixes and has no bearing on the result. What two sets of n and m members must share, o
 of them, they share from the first n - o + 1 and m - o + 1 on; so of two sets the smaller one is looked up by fewer of
-its members, and pairs whose shared member comes too late are never made. Pairs that are left must share enough of
-their whole prefixes.
+its members, and pairs whose shared member comes too late are never made. Of pairs that are left the sketches are
+compared: for each of a few slots for a member whether it holds an odd number of the set's. A member that only one of two
+sets has changes one slot, so where more slots differ than alike sets may have members apart, the pair isn't alike. A
+sketch takes a sixteenth of the bytes of its set at most (eight bytes at least), and only what it leaves open is compared
+set by set.
 
 Texts of equal sets are one node. First come the links that op3's operator finds among the texts' fingerprints (SimHash on
 these shingles, three bits, covering masks), compared exactly; they tie most copies together. Fingerprints of sets that are
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, per_batch, same
+from .common import Workspace, per_batch, same, setting
 from .components import components
 from .simhash import SEED, near_links, vote
 
@@ -50,6 +53,8 @@ AT_LEAST = 3
 SLICES, ROOM, ROOM_BYTES = 4, 0.2, 64_000_000
 #: Bytes of a pair while it is counted.
 PAIR_BYTES = 24
+#: From which size of a table on, and up to which size of the other, Spark drops its rows by a Bloom filter of the other's keys before they are shuffled.
+_FILTER_FROM, _FILTER_BY = (f"spark.sql.optimizer.runtime.bloomFilter.{x}Threshold" for x in ("applicationSideScanSize", "creationSide"))
 #: Pairs of different components in all groups, for each entry of a group, that are compared without another pass.
 PAIRS_AT_ONCE = 2
 
@@ -76,6 +81,21 @@ def prefix(members: np.ndarray, similarity: float, common: np.ndarray, rank: np.
     return members[np.lexsort((members, np.where(common[at] == members, rank[at], 0)))[:n]]
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """A bit for each slot: whether it holds an odd number of the distinct members. Slots are a power of two, two to four for a member."""
+    slots = max(64, 1 << (2 * len(members)).bit_length())
+    held = np.bincount((members & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits(held & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many slots two sketches differ, of the fewer slots of the two: at most as many as members are in one of the sets only."""
+    a, b = sorted((np.frombuffer(z, np.uint8) for z in (x, y)), key=len)
+    while len(a) < len(b):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
@@ -136,40 +156,46 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
         node = pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).to_numpy().view(np.int64)
         prints = pa.array([vote(x) for x in hashes], pa.uint64()).to_numpy().view(np.int64)
         heads = pa.array([prefix(x, similarity, common, rank).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        n = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "fp": pa.array(prints), "n": n, "head": heads})
+        n, sketches = pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())
+        return pa.RecordBatch.from_pydict({"k": batch.column("k"), "t": batch.column("t"), "node": pa.array(node), "fp": pa.array(prints), "n": n, "sketch": sketches, "head": heads})
 
-    read = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, fp long, n long, head array<long>"), "read")
-    nodes = ws.save(read.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("head").alias("head")), "nodes")
+    read = ws.save(texts.mapInArrow(per_batch(prefixes), "k long, t long, node long, fp long, n long, sketch binary, head array<long>"), "read")
+    of_a_row = [F.first(c).alias(c) for c in ("fp", "n", "sketch", "head")]
+    heads = ws.save(read.groupBy("node").agg(F.min(F.struct("k", "t")).alias("at"), *of_a_row), "heads")
+    nodes = ws.save(heads.drop("head"), "nodes")
     rows = ws.save(read.select("k", "t", "node"), "rows")
     ws.drop("read")
-    all_sets = 8 * (nodes.agg(F.sum("n")).first()[0] or 0)
+    all_sets, all_sketches = (x or 0 for x in nodes.agg(8 * F.sum("n"), F.sum(F.octet_length("sketch") + PAIR_BYTES)).first())
     room, even = max(ROOM_BYTES, ROOM * all_sets), max(1, min(SLICES, math.ceil(all_sets / ROOM_BYTES)))
     least = F.min_by(F.struct("node", "n", "pos"), F.struct("pos", F.xxhash64("node")))
 
     def shared(i: int) -> DataFrame:
-        entries = nodes.select("node", "n", F.posexplode("head").alias("pos", "s")).filter(_in("s", even, i))
+        entries = heads.select("node", "n", F.posexplode("head").alias("pos", "s")).filter(_in("s", even, i))
         return entries.join(entries.groupBy("s").agg(F.count("*").alias("many"), least.alias("rep")).filter("many > 1").select("s", "rep"), "s")
 
     met = _sliced(ws, "met", even, shared)
+    ws.drop("heads")
     # what the sets of a pair must share, and whether a member that they share comes early enough in both
     overlap = (F.col("n") + F.col("n2")) * (similarity / (1 + similarity)) - 1e-6
     early = (F.col("n") - F.col("pos") >= overlap) & (F.col("n2") - F.col("pos2") >= overlap)
 
     def possible(both: DataFrame, name: str) -> DataFrame:
-        """Those of the distinct pairs (a, b) whose prefixes share as much as those of alike ones must.
-
-        Of two prefixes, the one that ends first in the order lacks at most n - overlap of its members in the other.
-        """
-        own = lambda a, n, head: nodes.select(F.col("node").alias(a), F.col("n").alias(n), F.col("head").alias(head))
-        enough = F.least(F.size("head") - F.col("n"), F.size("head2") - F.col("n2")) + overlap
-        slices = math.ceil((both.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.sum(F.col("n") * (8 * (1 - similarity)) + PAIR_BYTES)).first()[0] or 1) / room)
+        """Those of the distinct pairs (a, b) whose sketches differ in no more slots than alike ones may."""
+        own = lambda a, n, x: nodes.select(F.col("node").alias(a), F.col("n").alias(n), F.col("sketch").alias(x))
+        sizes = nodes.select(F.col("node").alias("a"), F.octet_length("sketch").alias("size"))
+        # of a pair and of all nodes on both sides of it
+        slices = math.ceil((2 * all_sketches + 2 * (both.join(sizes, "a").agg(F.sum(F.col("size") + PAIR_BYTES)).first()[0] or 1)) / room)
+
+        def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+            most = (batch.column("n").to_numpy() + batch.column("n2").to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            return batch.select(["a", "b"]).filter(pa.array(np.array([apart(x, y) for x, y in both]) <= most))
 
-        def enough_shared(i: int) -> DataFrame:
-            with_heads = both.filter(_in("a", slices, i)).join(own("a", "n", "head").filter(_in("a", slices, i)), "a").join(own("b", "n2", "head2"), "b")
-            return with_heads.filter(F.size(F.array_intersect("head", "head2")) >= enough).select("a", "b")
+        def near_ones(i: int) -> DataFrame:
+            sketched = both.filter(_in("a", slices, i)).join(own("a", "n", "x").filter(_in("a", slices, i)), "a").join(own("b", "n2", "y"), "b")
+            return sketched.select("a", "b", "n", "n2", "x", "y").mapInArrow(per_batch(near), "a long, b long")
 
-        found = _sliced(ws, f"{name}-pairs", slices, enough_shared)
+        found = _sliced(ws, f"{name}-pairs", slices, near_ones)
         ws.drop(f"{name}-both")
         return found
 
@@ -186,7 +212,8 @@ def groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, text: str =
             found = same(texts.filter(_in("t", even, i)), asked.filter(_in("t", even, i)), ["k", "t"], "inner").dropDuplicates(["node"]).select("node", "data")
             return found.mapInArrow(per_batch(members), "node long, members binary")
 
-        sets = _sliced(ws, f"{name}-sets", even, sets_of)
+        with setting(ws.spark, _FILTER_FROM, "0"), setting(ws.spark, _FILTER_BY, "100MB"):  # few of all texts are looked up
+            sets = _sliced(ws, f"{name}-sets", even, sets_of)
 
         def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
